@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, mixing, near_dedup, secret_scan, sql, token_output, topk_search, toxicity, url_filter
+from . import decontamination, license_scan, lm_scoring, mixing, near_dedup, secret_scan, sql, token_output, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No list comes with the tables: listed are the canonical URLs that more than one page has."""
     pages = _table(spark, sf_dir, "pages")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op8_near_dedup": op8_near_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
 }
 
