@@ -41,6 +41,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """stage(), as a table bucketed by a column: later groupings by it read the files without a shuffle."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    name = f"graphloom_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, and else as it is, for a shuffled join.
 

@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices, stage, text_bytes
+from .common import slices, stage, stage_by, text_bytes
 from .elias_fano import Trie
 
 MU = 100.0
 BLOCK_BYTES = 12 << 20
 #: Tokens for each shard, about.
 SHARD_TOKENS = 1_500_000
-SALTS = 8
+#: A context is dealt to several shards if its share of the tokens is over 1 / (SPLIT * shards).
+SPLIT = 2
 _END = np.uint64(0x5DEECE66D5DEECE7)
 _BLOCK = "block bigint, ids array<bigint>, held array<boolean>, ends array<bigint>, tokens binary, n_words bigint, words binary, counts binary"
 
@@ -79,9 +80,9 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank[np.argsort(-often, kind="stable")] = np.arange(len(kinds))
         trained = np.repeat(~held, np.diff(np.concatenate([[0], ends])))
         counts = np.bincount(at[trained], minlength=len(kinds))
-        # words stay in order of their hash, with their number of frequency beside: words holds (hash, number)
+        by_rank = np.argsort(rank)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([pack(_u(rank[at]))], pa.binary()), pa.array([len(kinds)]), pa.array([pack(kinds) + pack(_u(rank))], pa.binary()), pa.array([len(pack(kinds)).to_bytes(8, "little") + pack(_u(counts))], pa.binary())],
+            [pa.array([number]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([pack(_u(rank[at]))], pa.binary()), pa.array([len(kinds)]), pa.array([pack(kinds[by_rank])], pa.binary()), pa.array([pack(_u(counts[by_rank]))], pa.binary())],
             names=["block", "ids", "held", "ends", "tokens", "n_words", "words", "counts"],
         )
         number += 1
@@ -89,8 +90,9 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words_of(words: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes in order, their numbers, training counts in the block)."""
-    cut = int.from_bytes(counts[:8], "little")
-    return unpack(words[:cut]), unpack(words[cut:]).astype(np.int64), unpack(counts[8:]).astype(np.int64)
+    hashes = unpack(words)
+    order = np.argsort(hashes)
+    return hashes[order], order, unpack(counts).astype(np.int64)[order]
 
 
 def word_requests(shards: int):
@@ -155,8 +157,8 @@ def _base(c: np.ndarray, n: int, v: int) -> np.ndarray:
 def score_words(n: int, v: int, shards: int):
     """Cogrouped applyInArrow of a block and its word counts: each text's counts and base score, and bigram requests.
 
-    Rows: (doc_id ..., shard null) for texts; (shard, block, data) for requests; (block, data) with shard -1 for the
-    block's counts by word number."""
+    Rows (shard, block, data): requests, and with a negative shard, the block's counts by word number, base scores and
+    known tokens, which pass the shards unchanged."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -172,24 +174,24 @@ def score_words(n: int, v: int, shards: int):
             trained = np.repeat(~np.array(r["held"], bool), ends - starts)
             often = np.bincount(at[trained], minlength=len(pairs))
             context, word = pairs >> 32, pairs & 0xFFFFFFFF
-            shard = _shard(h[context], h[word], shards)
+            shard = _shard(h[context], h[word], c[context], n, shards)
             order = np.lexsort((h[word], h[context], shard))
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if hi > lo:
                     out.append((s, r["block"], _request(order[lo:hi], context, word, h, c, often)))
-            out.append((-1, r["block"], pack(_u(c))))
-            out.append((-2, r["block"], pack(np.ascontiguousarray(scores).view(np.uint64)) ))
-            out.append((-3, r["block"], pack(_u(known))))
+            own = _join([c, np.ascontiguousarray(scores).view(np.uint64), known])
+            out.append((-1 - r["block"] % shards, r["block"], own))
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({"shard": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
 
     return run
 
 
-def _shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    """By context, the words of each dealt to SALTS shards, so that a hot context isn't one task's."""
-    key = tokens.mix(context + (word & np.uint64(SALTS - 1)))
+def _shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, shards: int) -> np.ndarray:
+    """By context; the words of a hot context are dealt to several shards, the more the larger its count."""
+    salts = 1 + np.minimum(count * (SPLIT * shards) // max(n, 1), 255)
+    key = tokens.mix(context + word % salts.astype(np.uint64))
     return (key >> np.uint64(32)).astype(np.int64) * shards >> 32
 
 
@@ -205,6 +207,8 @@ def answer_bigrams(n: int, v: int):
     """applyInArrow of a shard: adds the blocks' bigram counts, builds the trie, answers each block's lookups."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["shard"][0].as_py() < 0:
+            return table
         got = [_split(d, 6) for d in table["data"].to_pylist()]
         contexts = [np.repeat(g[0], g[1].astype(np.int64)).astype(np.int64) for g in got]
         words = [g[3].astype(np.int64) for g in got]
@@ -235,15 +239,13 @@ def finish(n: int, v: int, shards: int):
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for r in left.to_pylist():
             data = dict(zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True))
-            c, scores, known = unpack(data[-1]).astype(np.int64), unpack(data[-2]).view(np.float64), unpack(data[-3])
-            hashes, rank, _ = _words_of(r["words"], r["counts"])
-            h = np.zeros(len(rank), np.uint64)
-            h[rank] = hashes
+            c, scores, known = _split(next(d for s, d in data.items() if s < 0), 3)
+            c, scores, h = c.astype(np.int64), scores.view(np.float64), unpack(r["words"])
             ranks, ends = unpack(r["tokens"]).astype(np.int64), np.array(r["ends"], np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             pairs, at = _bigrams(ranks, ends)
             context, word = pairs >> 32, pairs & 0xFFFFFFFF
-            shard = _shard(h[context], h[word], shards)
+            shard = _shard(h[context], h[word], c[context], n, shards)
             order = np.lexsort((h[word], h[context], shard))
             codes = np.concatenate([unpack(data[s]) for s in sorted(s for s in data if s >= 0)]).astype(np.int64)
             log = np.empty(len(pairs))
@@ -270,17 +272,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows whose crc32 of the id as text is divisible by `folds` are held out: scored, not learned from."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.pmod(F.crc32(key), F.lit(folds)) == 0).alias("held"), F.col(text_col).alias("text"))
-    blocks = stage(base.mapInArrow(read_blocks, _BLOCK), "blocks")
-    total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stage_by(base.mapInArrow(read_blocks, _BLOCK), "blocks", "block", parts)
+    total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     shards = max(2 * parts, -(-total // SHARD_TOKENS))
     packed = "shard bigint, block bigint, data binary"
     asked = blocks.select("block", "words", "counts").mapInArrow(word_requests(shards), packed)
     counts = stage(asked.groupBy("shard").applyInArrow(count_words, f"{packed}, n bigint, v bigint"), "word-counts")
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.sum("v")).first())
     met = blocks.groupBy("block").cogroup(counts.select("shard", "block", "data").groupBy("block")).applyInArrow(score_words(n, v, shards), packed)
-    met = stage(met, "bigrams")
-    answers = met.where("shard >= 0").groupBy("shard").applyInArrow(answer_bigrams(n, v), packed).union(met.where("shard < 0"))
+    answers = met.groupBy("shard").applyInArrow(answer_bigrams(n, v), packed)
     kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish(n, v, shards), kinds)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
