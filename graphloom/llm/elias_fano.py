@@ -64,12 +64,14 @@ class EliasFano:
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
         high, low = values >> self.low_bits, values & ((1 << self.low_bits) - 1)
         at, end = self.bucket(high)
-        open_ = np.flatnonzero(at < end)
-        while len(open_):  # buckets hold about one entry
-            less = self.lows(at[open_]) < low[open_]
-            open_ = open_[less]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
+        last = end.copy()
+        open_ = np.flatnonzero(at < last)
+        while len(open_):  # a context with many words fills few buckets, so each is halved, not walked
+            middle = (at[open_] + last[open_]) >> 1
+            less = self.lows(middle) < low[open_]
+            at[open_[less]] = middle[less] + 1
+            last[open_[~less]] = middle[~less]
+            open_ = open_[at[open_] < last[open_]]
         inside = np.flatnonzero(at < end)
         found = np.zeros(len(values), bool)
         found[inside] = self.lows(at[inside]) == low[inside]
