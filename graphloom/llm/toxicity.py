@@ -17,7 +17,7 @@ without labels); an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,8 +84,9 @@ class Lexicon:
 
 def _weigh(keys: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least: int, odds: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys that stand in `least` toxic rows or more with log odds of at least `odds`, by rows that hold them."""
-    order = np.lexsort((rows, keys))
+    order = np.argsort(keys, kind="stable")  # rows rise, and so they do within a key
     keys, rows = keys[order], rows[order]
+    del order
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
     keys, rows = keys[first], rows[first]
@@ -98,16 +99,16 @@ def _weigh(keys: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least: int, od
     return kinds[pick], weight[pick]
 
 
-def learn_lexicon(words: np.ndarray, starts: list[np.ndarray], text: np.ndarray, toxic: np.ndarray, seed: np.ndarray) -> Lexicon:
+def learn_lexicon(words: np.ndarray, starts: Iterable[np.ndarray], text: np.ndarray, toxic: np.ndarray, seed: np.ndarray) -> Lexicon:
     least = 2 if toxic.sum() < 200 else 3
     w, ww = _weigh(words, text, toxic, least, 2.0)
     new = np.setdiff1d(seed, w)
     w, ww = np.concatenate([w, new]), np.concatenate([ww, np.full(len(new), 3.0)])
     order = np.argsort(w)
-    every = np.concatenate(starts) if starts else np.zeros(0, np.uint64)
-    rows = np.tile(text, len(starts))
-    s, sw = _weigh(every[every > 0], rows[every > 0], toxic, max(least, int(0.01 * toxic.sum())), 2.5)
-    return Lexicon(w[order], ww[order], s, sw)
+    got = [_weigh(k[k > 0], text[k > 0], toxic, max(least, int(0.01 * toxic.sum())), 2.5) for k in starts]  # one length at a time
+    s, sw = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, kind) for i, kind in ((0, np.uint64), (1, float)))
+    rising = np.argsort(s)
+    return Lexicon(w[order], ww[order], s[rising], sw[rising])
 
 
 def _weights(keys: np.ndarray, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -246,19 +247,29 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     empty = Lexicon(none, np.zeros(0), none, np.zeros(0))
     if len(y) < 10 or y.min() == y.max():
         return Model(empty, Trees(float(y.mean()) if len(y) else 0.0), None)
-    raw, offsets = text_bytes(pa.array(texts, pa.string()))
-    words, starts, text = word_keys(raw, offsets)
+    parts, number = [], 0  # slices of the texts, so that nothing is held for all bytes at once
+    for batch in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text"):
+        raw, offsets = text_bytes(batch.column(0))
+        own = word_keys(raw, offsets)
+        parts.append((raw, offsets, own, number))
+        number += batch.num_rows
+    words = np.concatenate([p[2][0] for p in parts])
+    starts = [np.concatenate([p[2][1][i] for p in parts]) for i in range(len(_LENGTHS))]
+    text = np.concatenate([(p[2][2] + p[3]).astype(np.int32) for p in parts])
+    ends = np.cumsum([0, *(len(p[2][0]) for p in parts)])
+    parts = [(raw, offsets, slice(ends[i], ends[i + 1]), number) for i, (raw, offsets, _, number) in enumerate(parts)]
     seed = _hash_words(SEED_LEXICON)
     fold = np.arange(len(y)) % FOLDS
     x = np.zeros((len(y), len(FEATURES)))
 
     def learned(rows: np.ndarray) -> Lexicon:
         keep = rows[text]
-        number = np.cumsum(rows) - 1
-        return learn_lexicon(words[keep], [s[keep] for s in starts], number[text[keep]], y[rows], seed)
+        numbers = (np.cumsum(rows) - 1).astype(np.int32)[text[keep]]
+        return learn_lexicon(words[keep], (s[keep] for s in starts), numbers, y[rows], seed)
 
     for f in range(FOLDS):
-        x[fold == f] = features(raw, offsets, learned(fold != f), (words, starts, text))[fold == f]
+        lexicon = learned(fold != f)
+        x[fold == f] = np.concatenate([features(raw, offsets, lexicon, (words[at], [s[at] for s in starts], text[at] - number)) for raw, offsets, at, number in parts])[fold == f]
     out = np.zeros(len(y))
     for f in range(FOLDS):
         out[fold == f] = fit_trees(x[fold != f], y[fold != f]).raw(x[fold == f])
@@ -276,7 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").select("i", "t", "y").collect()
     rows.sort(key=lambda r: (r["i"], r["t"] or "", r["y"]))
-    return fit([r["t"] for r in rows], [r["y"] for r in rows])
+    texts, marked = [r["t"] for r in rows], [r["y"] for r in rows]
+    del rows
+    return fit(texts, marked)
 
 
 def scorer(model: Model):
