@@ -41,6 +41,64 @@ def test_near_dedup_odd_rows(docs):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 4, 5, 6, 8, 9]
 
 
+def brute_components(texts, size, percent):
+    """Least id that links reach, by comparing all pairs of sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} or {tuple(w)}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in ids}
+
+
+def _group_of_copies(seed, vocabulary):
+    """A group around one text: copies with changes of their own, copies of copies, and cut ones."""
+    r, base, texts = random.Random(seed), words(70, seed), {}
+    for i in range(90):
+        own = list(base) if i % 3 or not texts else texts[r.choice(sorted(texts))].split()
+        for _ in range(r.randrange(0, 8)):
+            own[r.randrange(len(own))] = f"v{r.randrange(vocabulary)}"
+        texts[i * 10 + seed] = " ".join(own[r.randrange(0, 6) if i % 5 == 0 else 0 :])
+    return texts
+
+
+@pytest.mark.parametrize("vocabulary", [6, 10**6])
+def test_near_dedup_hot_group_brute_force(spark, vocabulary):
+    texts = {**_group_of_copies(1, vocabulary), **_group_of_copies(2, vocabulary)}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, size=3, percent=85).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+@pytest.mark.parametrize("vocabulary", [6, 10**6])
+def test_rare_pairs_lose_nothing(spark, vocabulary):
+    """Every pair at the similarity is met by its rarest shingles, whatever the components."""
+    texts = _group_of_copies(3, vocabulary)
+    sets = {i: sorted({hash(tuple(t.split()[j : j + 3])) for j in range(len(t.split()) - 2)}) for i, t in texts.items()}
+    table = spark.createDataFrame(sorted(sets.items()), "node bigint, items array<bigint>")
+    met = {tuple(sorted(p)) for p in near_dedup._rare_pairs(table, table.select("node", F.col("node").alias("comp")), 85).collect()}
+    near = set()
+    for i in sets:
+        for j in sets:
+            both = len({*sets[i]} & {*sets[j]})
+            if i < j and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                near.add((i, j))
+    assert near <= met and near
+
+
 def test_mixing(spark, docs):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "s%d" % (i % 4 if i % 9 else 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
