@@ -11,8 +11,9 @@
    of stars come first: each class is held against one centre of its buckets, confirmed links are contracted, and only
    pairs of different components remain for the last round. That round orders the shingles of all classes in buckets
    still open by how few classes hold them. Two sets that are similar enough share one of their rarest shingles
-   (prefix and position bounds), so only such pairs are held against the signature distance and the full sets. Copies
-   that each have their own changes share none, and make no pair. No link between components is lost.
+   (prefix and position bounds), so only such pairs are held against the signature distance and the full sets: first
+   one pair of each two components, whose links are contracted, then all that remain. Copies that each have their own
+   changes share none, and make no pair. No link between components is lost.
 
 Defined results: null or empty texts have an empty set, their own component and are kept; a text with fewer words than
 a shingle has one shingle; repeated rows share a component; a null doc_id counts as larger than any other, and a
@@ -115,27 +116,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def _rare_pairs(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the similarity: every pair that does is among them.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(item, node, n, i): the rarest shingles of each set, i their place in the set, those of one set only left out.
 
-    Shingles are in one order, those that fewer of the sets hold first. If the intersection is at least
-    percent * (n_a + n_b) / (100 + percent), the first common shingle is among the first n_a - least + 1 of the smaller
-    set and the like of the larger, and what follows its places bounds the intersection. Shingles of one set only
-    count for the places and are never joined."""
+    Shingles are in one order, those that fewer of the sets hold first."""
     items = sets.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = stage(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "often")
     each = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "item"))
-    ranked = items.join(often, "item").select("node", "n", "item", place.cast("int").alias("i"))
-    prefix = ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = stage(prefix.join(comps, "node").select("item", "node", "n", "i", "comp"), "prefixes")
+    ranked = items.join(often, "item").select("item", "node", "n", place.cast("int").alias("i"))
+    return stage(ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
+
+
+def _rare_pairs(prefixes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb, shared) of different components that may reach the similarity: every pair that does is there.
+
+    If the intersection is at least percent * (n_a + n_b) / (100 + percent), the first common shingle is among the
+    first n_a - least + 1 of the smaller set and the like of the larger, and what follows its places bounds the
+    intersection. shared: how many shingles they met by."""
+    prefix = prefixes.join(comps, "node")
     x, y = (prefix.select("item", *(F.col(c).alias(f"{m}{c}") for c in ("node", "n", "i", "comp"))) for m in "xy")
     x = x.where((F.col("xn") - F.col("xi") + 1) * (100 + percent) >= F.col("xn") * (2 * percent))
     ordered = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xnode") < F.col("ynode")))
     bound = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + 1
     enough = bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
     met = x.join(y, "item").where((F.col("xcomp") != F.col("ycomp")) & ordered & enough)
-    return met.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
+    pair = [F.col("xnode").alias("a"), F.col("ynode").alias("b"), F.least("xcomp", "ycomp").alias("ca"), F.greatest("xcomp", "ycomp").alias("cb")]
+    return met.groupBy(*pair).agg(F.count("*").alias("shared"))
 
 
 def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -170,27 +177,31 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     links = stage(_confirmed(nearest, sets, percent), "links")
     labels = stage(components(links, "a", "b"), "labels")
 
-    for last in (False, True):
+    sets = prefixes = None
+    for turn in ("star", "lead", "rest"):
         at = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "node")).alias("least")).where("lo != hi")
         open_ = stage(open_.select("key", F.col("least.node").alias("b"), F.col("least.comp").alias("cb")), "open")
         if not open_.take(1):
             break
-        sets = None
-        if last:  # all that is left, in buckets with several components
-            cross = stage(at.join(open_.select("key"), "key").select("node", "comp").distinct(), "left")
-            sets = sets_of(cross.select("node"))
-            found = _rare_pairs(sets, cross, percent).join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("a", "b")
-        else:  # one more star, between components: the nearest members of each two
+        if turn == "star":  # one more star, between components: the nearest members of each two
             spokes = at.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(open_, "key").where("ca != cb").select("a", "ca", "b", "cb").distinct()
             spokes = spokes.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("ca", "cb", F.struct(_distance("x", "y").alias("d"), "a", "b").alias("t"))
             found = spokes.groupBy("ca", "cb").agg(F.min("t").alias("t")).select("t.a", "t.b")
+        else:  # what is left, in buckets with several components: first one pair of each two components, then all
+            left = stage(at.join(open_.select("key"), "key").select("node", "comp").distinct(), "left")
+            if prefixes is None:
+                sets = sets_of(left.select("node"))
+                prefixes = _prefixes(sets, percent)
+            found = _rare_pairs(prefixes, left, percent)
+            if turn == "lead":
+                found = found.groupBy("ca", "cb").agg(F.max(F.struct("shared", "a", "b")).alias("t")).select("t.a", "t.b")
+            found = found.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("a", "b")
         found = stage(found, "cross")
         if not found.take(1):
             continue
-        if sets is None:
-            sets = sets_of(found.select(F.explode(F.array("a", "b")).alias("node")))
-        more = stage(_confirmed(found, sets, percent), "links")
+        whole = sets_of(found.select(F.explode(F.array("a", "b")).alias("node"))) if sets is None else sets
+        more = stage(_confirmed(found, whole, percent), "links")
         if more.take(1):
             links = links.union(more)
             labels = stage(components(links, "a", "b"), "labels")
