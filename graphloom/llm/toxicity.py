@@ -17,6 +17,7 @@ without labels); an empty table gives an empty one.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -282,14 +283,22 @@ def held_out(doc_id: Column, of: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most `max_rows` labelled rows that aren't held out, those with the smallest hash of their id."""
+    """Fit on at most `max_rows` labelled rows that aren't held out, those with the smallest hash of their id.
+
+    One task of an executor fits; the driver gets only the model."""
     marks = labels.select(F.col(label_id).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
     marks = marks.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").select("i", "t", "y").collect()
-    rows.sort(key=lambda r: (r["i"], r["t"] or "", r["y"]))
-    texts, marked = [r["t"] for r in rows], [r["y"] for r in rows]
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").select("i", "t", "y")
+    got = rows.repartition(1).mapInArrow(_fit_rows, "model binary").first()
+    return pickle.loads(got["model"]) if got else fit([], [])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All (i, t, y), in one order however they arrive, to one pickled model."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[1] or "", r[2]))
+    texts, marked = [r[1] for r in rows], [r[2] for r in rows]
     del rows
-    return fit(texts, marked)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, marked))], pa.binary())], names=["model"])
 
 
 def scorer(model: Model):
