@@ -11,9 +11,11 @@
    of stars come first: each class is held against one centre of its buckets, confirmed links are contracted, and only
    pairs of different components remain for the last round. That round orders the shingles of all classes in buckets
    still open by how few classes hold them. Two sets that are similar enough share one of their rarest shingles
-   (prefix and position bounds), so only such pairs are held against the signature distance and the full sets: first
-   one pair of each two components, whose links are contracted, then all that remain. Copies that each have their own
-   changes share none, and make no pair. No link between components is lost.
+   (prefix and position bounds). An outside class meets a whole star of the first round by what its centre holds, and
+   is held against the centre; only members that the two intersections with the centre don't rule out are paired with
+   it. Shingles that a member holds besides its centre pair it directly. All pairs pass the signature distance and the
+   full sets: first one pair of each two components, whose links are contracted, then all that remain. Copies that each
+   have their own changes share none, and make no pair. No link between components is lost.
 
 Defined results: null or empty texts have an empty set, their own component and are kept; a text with fewer words than
 a shingle has one shingle; repeated rows share a component; a null doc_id counts as larger than any other, and a
@@ -116,33 +118,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(item, node, n, i): the rarest shingles of each set, i their place in the set, those of one set only left out.
+def _ranked(sets: DataFrame, stars: DataFrame) -> DataFrame:
+    """(item, node, n, i, comp, g, c, core): the shingles of the classes in stars that other sets hold too.
 
-    Shingles are in one order, those that fewer of the sets hold first."""
+    Shingles are in one order, those that fewer of the sets hold first; i is the place in the set. core: the centre of
+    the class's star holds the shingle as well (a class without a star is its own centre)."""
     items = sets.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = stage(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "often")
     each = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "item"))
-    ranked = items.join(often, "item").select("item", "node", "n", place.cast("int").alias("i"))
-    return stage(ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
-
-
-def _rare_pairs(prefixes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb, shared) of different components that may reach the similarity: every pair that does is there.
-
-    If the intersection is at least percent * (n_a + n_b) / (100 + percent), the first common shingle is among the
-    first n_a - least + 1 of the smaller set and the like of the larger, and what follows its places bounds the
-    intersection. shared: how many shingles they met by."""
-    prefix = prefixes.join(comps, "node")
-    x, y = (prefix.select("item", *(F.col(c).alias(f"{m}{c}") for c in ("node", "n", "i", "comp"))) for m in "xy")
-    x = x.where((F.col("xn") - F.col("xi") + 1) * (100 + percent) >= F.col("xn") * (2 * percent))
-    ordered = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xnode") < F.col("ynode")))
-    bound = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + 1
-    enough = bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
-    met = x.join(y, "item").where((F.col("xcomp") != F.col("ycomp")) & ordered & enough)
-    pair = [F.col("xnode").alias("a"), F.col("ynode").alias("b"), F.least("xcomp", "ycomp").alias("ca"), F.greatest("xcomp", "ycomp").alias("cb")]
-    return met.groupBy(*pair).agg(F.count("*").alias("shared"))
+    ranked = stage(items.join(often, "item").select("item", "node", "n", place.cast("int").alias("i")), "ranked")
+    centres = stars.where("g != node").select(F.col("g").alias("node")).distinct()
+    held = ranked.join(centres, "node").select(F.col("node").alias("g"), "item", F.lit(True).alias("held"))
+    rows = ranked.join(stars, "node").join(held, ["g", "item"], "left")
+    return stage(rows.select("item", "node", "n", "i", "comp", "g", "c", (F.col("held").isNotNull() | (F.col("g") == F.col("node"))).alias("core")), "ranked")
+
+
+def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb, score) of different components that may reach the similarity: every pair that does is there.
+
+    Two such sets have an intersection of at least percent * (n_a + n_b) / (100 + percent), so their first common
+    shingle is among the first n - ceil(n * percent / 100) + 1 of each, and what follows its places bounds the
+    intersection. Let a belong to the smaller star. If that shingle isn't in the centre of b's star, the two meet by it.
+    If it is, a meets the star, once for all its members, and is held against the centre: the intersection with b is at
+    most what both have in common with the centre, and what b holds besides that any other set holds too. Only members
+    for which that suffices are paired. score: a guess of the intersection."""
+    prefix = rows.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    x = prefix.select("item", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "i", "comp", "g", "c")))
+    other = (F.col("xcomp") != F.col("comp")) & ((F.col("xc") < F.col("c")) | ((F.col("xc") == F.col("c")) & (F.col("xg") < F.col("g"))))
+
+    def enough(shared, n):
+        return shared * (100 + percent) >= (F.col("xn") + n) * percent
+
+    pair = [F.col("xnode").alias("a"), F.col("node").alias("b"), F.least("xcomp", "comp").alias("ca"), F.greatest("xcomp", "comp").alias("cb")]
+    left = F.least(F.col("xn") - F.col("xi"), F.col("n") - F.col("i")) + 1
+    beside = x.join(prefix.where("not core"), "item").where(other & enough(left, F.col("n"))).groupBy(*pair).agg(F.count("*").cast("int").alias("score"))
+
+    stars = prefix.where("core").groupBy("item", "comp", "g", "c").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("i")).alias("after"))
+    left = F.least(F.col("xn") - F.col("xi"), F.col("after")) + 1
+    met = stage(x.join(stars, "item").where(other & enough(left, F.col("least"))).select("xnode", "xn", "xcomp", "g", "comp").distinct(), "met")
+    own, centre = (sets.select(F.col("node").alias(k), F.col("items").alias(f"{k}_items")) for k in ("xnode", "g"))
+    shared = F.size(F.array_intersect("xnode_items", "g_items")).alias("xin")
+    held = met.join(own, "xnode").join(centre, "g").select("xnode", "xn", "xcomp", "g", "comp", shared)
+    inside = F.when(F.col("g") == F.col("node"), F.col("n")).otherwise(F.count_if("core"))
+    members = rows.groupBy("g", "node", "n").agg(inside.cast("int").alias("in"), F.count_if(~F.col("core")).cast("int").alias("out"))
+    most = F.least("xin", "in") + F.least(F.col("out"), F.col("xn") - F.col("xin"))
+    through = held.join(members, "g").where(enough(most, F.col("n"))).select(*pair, F.least("xin", "in").alias("score"))
+    return beside.union(through).groupBy("a", "b", "ca", "cb").agg(F.max("score").alias("score"))
 
 
 def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -177,34 +199,49 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     links = stage(_confirmed(nearest, sets, percent), "links")
     labels = stage(components(links, "a", "b"), "labels")
 
-    sets = prefixes = None
-    for turn in ("star", "lead", "rest"):
+    def still_open(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All members with their components, and the buckets that have several components."""
         at = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "node")).alias("least")).where("lo != hi")
-        open_ = stage(open_.select("key", F.col("least.node").alias("b"), F.col("least.comp").alias("cb")), "open")
+        several = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "node")).alias("least")).where("lo != hi")
+        return at, stage(several.select("key", F.col("least.node").alias("b"), F.col("least.comp").alias("cb")), "open")
+
+    def contract(pairs: DataFrame, sets: DataFrame) -> bool:
+        """Confirm the pairs and contract their links; False if there are none."""
+        nonlocal links, labels
+        more = stage(_confirmed(pairs, sets, percent), "links")
+        if not more.take(1):
+            return False
+        links = links.union(more)
+        labels = stage(components(links, "a", "b"), "labels")
+        return True
+
+    # one more star, between components: the nearest members of each two
+    nearby = links.select(F.col("a").alias("node"), F.col("b").alias("g"))
+    at, open_ = still_open(labels)
+    if not open_.take(1):
+        return rows.select("doc_id", "k", "n", "node"), labels
+    spokes = at.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(open_, "key").where("ca != cb").select("a", "ca", "b", "cb").distinct()
+    spokes = spokes.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("ca", "cb", F.struct(_distance("x", "y").alias("d"), "a", "b").alias("t"))
+    found = stage(spokes.groupBy("ca", "cb").agg(F.min("t").alias("t")).select("t.a", "t.b"), "cross")
+    if found.take(1) and contract(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("node")))):
+        at, open_ = still_open(labels)
         if not open_.take(1):
-            break
-        if turn == "star":  # one more star, between components: the nearest members of each two
-            spokes = at.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(open_, "key").where("ca != cb").select("a", "ca", "b", "cb").distinct()
-            spokes = spokes.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("ca", "cb", F.struct(_distance("x", "y").alias("d"), "a", "b").alias("t"))
-            found = spokes.groupBy("ca", "cb").agg(F.min("t").alias("t")).select("t.a", "t.b")
-        else:  # what is left, in buckets with several components: first one pair of each two components, then all
-            left = stage(at.join(open_.select("key"), "key").select("node", "comp").distinct(), "left")
-            if prefixes is None:
-                sets = sets_of(left.select("node"))
-                prefixes = _prefixes(sets, percent)
-            found = _rare_pairs(prefixes, left, percent)
-            if turn == "lead":
-                found = found.groupBy("ca", "cb").agg(F.max(F.struct("shared", "a", "b")).alias("t")).select("t.a", "t.b")
-            found = found.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("a", "b")
-        found = stage(found, "cross")
-        if not found.take(1):
-            continue
-        whole = sets_of(found.select(F.explode(F.array("a", "b")).alias("node"))) if sets is None else sets
-        more = stage(_confirmed(found, whole, percent), "links")
-        if more.take(1):
-            links = links.union(more)
-            labels = stage(components(links, "a", "b"), "labels")
+            return rows.select("doc_id", "k", "n", "node"), labels
+
+    # what is left, in buckets with several components: first one pair of each two components, then all
+    left = at.join(open_.select("key"), "key").select("node", "comp").distinct()
+    left = stage(left.join(nearby, "node", "left").select("node", "comp", F.coalesce("g", "node").alias("g")), "left")
+    stars = stage(left.join(left.groupBy("g").agg(F.count("*").alias("c")), "g"), "stars")
+    sets = sets_of(stars.select(F.explode(F.array("node", "g")).alias("node")))
+    found = _rare_pairs(_ranked(sets, stars), sets, percent).join(sa, "a").join(sb, "b").where(_near("x", "y", percent))
+    found = stage(found.select("a", "b", "ca", "cb", "score"), "cross")
+    if contract(found.groupBy("ca", "cb").agg(F.max(F.struct("score", "a", "b")).alias("t")).select("t.a", "t.b"), sets):
+        ends = [labels.select(F.col("node").alias(m), F.col("component").alias(f"c{m}")) for m in "ab"]
+        rest = found.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    else:
+        rest = found.select("a", "b")
+    contract(stage(rest, "cross"), sets)
     return rows.select("doc_id", "k", "n", "node"), labels
 
 
