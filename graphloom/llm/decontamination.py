@@ -1,12 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index Hamming join, exact verification.
 
 DataFrame functions only. Windows are placed where a document holds a five-word shingle of an item (others share no
-shingle with it, so their similarity is 0), aligned so that the window is item-sized. Windows and items get a 64-bit
-SimHash of their weighted shingles. The index cuts fingerprints into 6 blocks; two fingerprints within RADIUS = 17
-agree in some block up to two bits (6 * 3 = 18), and all values of an item's block within two bits are enumerated,
-so equal (length, block, value) retrieves every pair within the radius. At similarity 0.8 a pair lies beyond it in
-about one of 200 cases, at 0.85 in one of 3000. Retrieved pairs are verified by exact weighted Jaccard similarity of the
-two shingle sets; an item's shingle weighs 1 / (items that hold it), any other 1.
+shingle with it, so their similarity is 0), aligned so that the window is item-sized. Windows and items get two 64-bit
+SimHashes, of their shingles and of their weighted shingles; an item's shingle weighs 1 / (items that hold it), any
+other 1. The index cuts fingerprints into 6 blocks; two fingerprints within RADIUS = 17 agree in some block up to two
+bits (6 * 3 = 18), and all values of an item's block within two bits are enumerated, so equal (length, block, value)
+retrieves every pair within the radius by either fingerprint. At similarity 0.8 a pair lies beyond it in about one of
+200 cases, at 0.85 in one of 3000. Retrieved pairs are verified by exact Jaccard similarity of the two shingle sets,
+the greater of plain and weighted: weights alone would let items that share a text outvote their own copies.
 
 The benchmark side is broadcast if its counted size is bounded, and joined by shuffles otherwise.
 
@@ -40,6 +41,11 @@ def simhash(items: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def fingerprints(weighted: Column) -> dict[str, Column]:
+    """f of the shingles alone and wf of the weighted shingles. weighted: array of struct (h, w)."""
+    return {"f": simhash(F.transform(weighted, lambda s: F.struct(s["h"].alias("h"), F.lit(1.0).alias("w")))), "wf": simhash(weighted)}
+
+
 def _block_values(h: Column) -> list[Column]:
     out, shift = [], 0
     for bits in BLOCKS:
@@ -74,7 +80,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     each = items.select("pid", F.explode("set").alias("h"))
     weights = each.groupBy("h").agg((1.0 / F.count("*")).alias("w"))
     weighed = each.join(weights, "h").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("ws"))
-    items = stage(items.join(weighed, "pid").withColumn("f", simhash(F.col("ws"))).select("pid", "item_id", "n", "set", "ws", "f", "words"), "items")
+    items = stage(items.join(weighed, "pid").withColumns(fingerprints(F.col("ws"))).select("pid", "item_id", "n", "set", "ws", "f", "wf", "words"), "items")
     n_items = items.count()
 
     base = keyed(docs, id_col, text_col)
@@ -86,17 +92,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = windows.select("k", "n", "at", "words").withColumn("set", _sets(windows, size))
     parts = windows.select("k", "n", "at", F.explode("set").alias("h")).join(bounded_broadcast(stage(weights, "weights")), "h", "left")
     parts = parts.groupBy("k", "n", "at").agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("ws"))
-    parts = stage(parts.withColumn("f", simhash(F.col("ws"))), "windows")
-
-    index = items.select("pid", "item_id", "n", F.col("f").alias("g"), F.explode(item_keys(F.col("f"))).alias("key"))
-    index = index.select("pid", "item_id", "n", "g", "key.block", "key.value")
-    asked = parts.select("k", "n", "at", "f", F.explode(window_keys(F.col("f"))).alias("key")).select("k", "n", "at", "f", "key.block", "key.value")
-    far = F.bit_count(F.col("f").bitwiseXOR(F.col("g")))
-    pairs = asked.join(bounded_broadcast(index, n_items * 400), ["n", "block", "value"]).where(far <= RADIUS).select("k", "n", "at", "pid", "item_id", far.alias("hamming")).distinct()
+    parts = stage(parts.withColumns(fingerprints(F.col("ws"))), "windows")
+
+    either = lambda keys: F.explode(F.array_distinct(F.concat(keys(F.col("f")), keys(F.col("wf"))))).alias("key")
+    index = items.select("pid", "item_id", "n", F.col("f").alias("g"), F.col("wf").alias("wg"), either(item_keys))
+    index = index.select("pid", "item_id", "n", "g", "wg", "key.block", "key.value")
+    asked = parts.select("k", "n", "at", "f", "wf", either(window_keys)).select("k", "n", "at", "f", "wf", "key.block", "key.value")
+    far = F.least(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))), F.bit_count(F.col("wf").bitwiseXOR(F.col("wg"))))
+    pairs = asked.join(bounded_broadcast(index, n_items * 800), ["n", "block", "value"]).where(far <= RADIUS).select("k", "n", "at", "pid", "item_id", far.alias("hamming")).distinct()
     sums = lambda c: F.aggregate(c, F.lit(0.0), lambda a, s: a + s["w"])
     both = pairs.join(parts.select("k", "n", "at", "ws"), ["k", "n", "at"]).join(bounded_broadcast(items.select("pid", F.col("ws").alias("is"), "set"), n_items), "pid")
-    shared = sums(F.filter("ws", lambda s: F.array_contains(F.col("set"), s["h"])))
-    scored = both.withColumn("shared", shared).withColumn("similarity", F.round(F.col("shared") / (sums(F.col("ws")) + sums(F.col("is")) - F.col("shared")), 6))
+    common = both.withColumn("common", F.filter("ws", lambda s: F.array_contains(F.col("set"), s["h"])))
+    jaccard = lambda total: total(F.col("common")) / (total(F.col("ws")) + total(F.col("is")) - total(F.col("common")))
+    scored = common.withColumn("similarity", F.round(F.greatest(jaccard(F.size), jaccard(sums)), 6))
     best = scored.where(F.col("similarity") >= similarity).groupBy("k", "pid", "item_id").agg(F.max(F.struct("similarity", -F.col("at"), -F.col("hamming"))).alias("t"))
     best = best.select("k", "item_id", (-F.col("t.col2")).alias("start_word"), (-F.col("t.col3")).alias("hamming"), "t.similarity")
     return hit.select("k", "doc_id").join(bounded_broadcast(stage(best, "leaks")), "k").select("doc_id", "k", "item_id", "start_word", "hamming", "similarity")

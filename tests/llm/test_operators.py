@@ -211,6 +211,25 @@ def test_decontamination_and_licenses(spark, docs):
     assert decontamination.contaminated(docs.limit(0), bench).collect() == decontamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("copies", "changed", "least"), [(2, (30, 60), 0.81), (5, (50,), 0.9), (20, (50,), 0.9)])
+def test_decontamination_of_repeated_items(spark, copies, changed, least):
+    item = words(100, 3)
+    edited = ["edited" if i in changed else w for i, w in enumerate(item)]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i in range(copies)], "item_id bigint, text string")
+    texts = spark.createDataFrame([(1, " ".join([*words(30, 4), *edited, *words(30, 5)])), (2, " ".join(words(160, 6)))], "doc_id bigint, text string")
+    got = decontamination.contaminated(texts, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start_word"]) for r in got) == [(1, i, 30) for i in range(copies)]
+    assert all(least <= r["similarity"] < least + 0.02 for r in got)
+
+
+def test_decontamination_of_weighted_items(spark):
+    """A common prompt weighs little: the question alone is found, though most of the item's shingles are missing."""
+    prompt, ask = words(20, 7), words(40, 8)
+    bench = spark.createDataFrame([(0, " ".join([*prompt, *ask])), *((i, " ".join([*prompt, *words(40, 8 + i)])) for i in range(1, 20))], "item_id bigint, text string")
+    texts = spark.createDataFrame([(1, " ".join([*prompt[-2:], *ask]))], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(texts, bench).collect()} == {(1, 0)}
+
+
 def test_toxicity(spark, docs):
     rows = [(i, " ".join(words(40, i)) + (" you idiot moron" if i % 3 == 0 else ""), "en", "s") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
