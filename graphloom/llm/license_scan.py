@@ -42,6 +42,7 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
 

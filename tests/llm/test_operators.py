@@ -230,6 +230,15 @@ def test_decontamination_of_weighted_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(texts, bench).collect()} == {(1, 0)}
 
 
+def test_license_lines_of_the_tables(spark):
+    lines = {"Proprietary": "All rights reserved.", "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    rows = [(i, " ".join(words(50, 10 + i)) + "\n" + line) for i, line in enumerate(lines.values())]
+    texts = spark.createDataFrame([*rows, (9, "all rights are reserved")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["license"], r["containment"]) for r in license_scan.scan(texts, license_scan.template_table(spark)).collect()}
+    assert {(i, name, 1.0) for i, name in enumerate(lines)} <= got and 9 not in {d for d, *_ in got}
+    assert (0, "Proprietary", 1.0) in got
+
+
 def test_toxicity(spark, docs):
     rows = [(i, " ".join(words(40, i)) + (" you idiot moron" if i % 3 == 0 else ""), "en", "s") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
