@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,30 @@ K1, B = 1.2, 0.75
 PREFIX_LIMIT, SUBSTRING_LIMIT = 80, 100
 
 
+def _bases() -> dict[str, str]:
+    """Characters whose canonical decomposition without combining marks is one other character, with that one."""
+    out = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c:
+            out[c] = base
+    return out
+
+
+#: Translation tables of fold() and of its column form.
+BASES = _bases()
+_FOLD = str.maketrans(BASES)
+
+
+def fold(text: str) -> str:
+    """In lower case and without accents, composed or combining."""
+    return "".join(c for c in text.lower().translate(_FOLD) if unicodedata.category(c) != "Mn")
+
+
+def folded(text: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(text), "".join(BASES), "".join(BASES.values())), r"\p{Mn}+", "")
+
+
 def browse(symbols: DataFrame) -> DataFrame:
     """All symbols, by qualified name in any case, then id."""
     return symbols.orderBy(F.lower("fqn"), "symbol_id")
@@ -19,14 +45,14 @@ def browse(symbols: DataFrame) -> DataFrame:
 
 def query_terms(query: str) -> list[list[str]]:
     """Terms of a query, each as the adjacent tokens it stands for; the last is a prefix. Operator words are plain."""
-    terms = [t for t in re.split(r"[^\w]+", query) if t.strip("_")]
-    return [[p.lower() for p in t.split("_") if p] for t in terms]
+    terms = [t for t in re.split(r"[^\w]+", fold(query)) if t.strip("_")]
+    return [[p for p in t.split("_") if p] for t in terms]
 
 
 def index_tokens(symbols: DataFrame) -> DataFrame:
     """symbols with `tokens`: the words of name, signature and path, in any case and without accents."""
     text = F.concat_ws(" ", "fqn", "signature", "relative_path")
-    return symbols.withColumn("tokens", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return symbols.withColumn("tokens", F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
 def term_count(tokens: Column, term: list[str]) -> Column:
