@@ -94,14 +94,16 @@ SECOND = """p2 AS (
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collection items of the conversations' turns, each of a part's symbol; some captures are stale, some ids gone."""
+    """Collection items of the conversations' turns, each of a part's symbol; some captures are stale, some ids gone.
+
+    The memo is the whole turn; ITEMS cuts it at 40 characters, so it can find fewer collections by text."""
     c = read(spark, sf_dir, "conversations")
     n = read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
     keyed = c.join(F.broadcast(n)).withColumn("k", F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.col("n")).cast("string"))
     s = symbols(spark, sf_dir).select(F.col("symbol_id").alias("k"), "fqn", "signature", F.col("relative_path").alias("path"), "start_line", "end_line", "ast_fingerprint")
     met = keyed.join(s, "k")
     stale = F.col("turn") % 3 == 1
-    return met.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("collection_id"), F.lit(REPOSITORY).alias("repository_id"), F.when(F.col("turn") % 5 == 4, None).otherwise(F.col("k")).alias("symbol_id"), F.col("fqn").alias("symbol_fqn"), F.col("signature").alias("symbol_signature"), F.col("path").alias("relative_path"), "start_line", "end_line", F.when(stale, F.md5(F.concat("ast_fingerprint", F.lit("old")))).otherwise(F.col("ast_fingerprint")).alias("ast_fingerprint"), "role", F.substring("text", 1, 40).alias("memo"), F.when(F.col("turn") % 5 == 4, "orphan").otherwise("linked").alias("status"), (F.col("turn") * 10).alias("sort_order"))
+    return met.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("collection_id"), F.lit(REPOSITORY).alias("repository_id"), F.when(F.col("turn") % 5 == 4, None).otherwise(F.col("k")).alias("symbol_id"), F.col("fqn").alias("symbol_fqn"), F.col("signature").alias("symbol_signature"), F.col("path").alias("relative_path"), "start_line", "end_line", F.when(stale, F.md5(F.concat("ast_fingerprint", F.lit("old")))).otherwise(F.col("ast_fingerprint")).alias("ast_fingerprint"), "role", F.col("text").alias("memo"), F.when(F.col("turn") % 5 == 4, "orphan").otherwise("linked").alias("status"), (F.col("turn") * 10).alias("sort_order"))
 
 
 ITEMS = """i AS (
