@@ -7,23 +7,29 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a side may hold to be broadcast; more rows take a shuffled join instead.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that a side may hold to be broadcast; more take a shuffled join instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 
 _own_dir: list[str] = []
+#: Paths staged in each open scratch(), the innermost last.
+_open: list[dict[str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this process only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, in local mode alone, a folder of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="graphloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -34,11 +40,52 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in the block are deleted at its end, but those that are kept().
+
+    What leaves the block must be staged itself, and kept: by then it is committed, so that a lost executor rereads it
+    and never asks for a table that is gone."""
+    _open.append({})
+    try:
+        yield
+    finally:
+        for path, table in _open.pop().items():
+            _delete(spark, path, table)
+
+
+def _delete(spark: SparkSession, path: str, table: str | None = None) -> None:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and lost executors cost a reread."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1][path] = None
+    got = spark.read.schema(df.schema).parquet(path)
+    got._staged_at = path
+    return got
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """This staged table outlives the innermost scratch(); it belongs to the one around it, if any."""
+    table = _open[-1].pop(df._staged_at)
+    if len(_open) > 1:
+        _open[-2][df._staged_at] = table
+    return df
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables before their scratch() ends; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df._staged_at
+        name = next((opened.pop(path) for opened in reversed(_open) if path in opened), None)
+        _delete(df.sparkSession, path, name)
 
 
 def stage_by(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
@@ -46,21 +93,42 @@ def stage_by(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     name = f"graphloom_{label}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    if _open:
+        _open[-1][path] = name
+    got = spark.table(name)
+    got._staged_at = path
+    return got
+
+
+def _weight(kind: T.DataType, c: Column) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        each = 8 * len(inner.fields) + 8 if isinstance(inner, T.StructType) else 40 if isinstance(inner, T.StringType) else 8
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * each + 24
+    if isinstance(kind, T.StructType):
+        return sum((_weight(f.dataType, c[f.name]) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """df, which should be staged or cheap, has no more rows and about no more bytes: both are counted here."""
+    each = sum((_weight(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16)).cast("long")
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and held <= size
 
-def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows, and else as it is, for a shuffled join.
 
-    df should be staged or cheap, for its rows are counted here unless `rows` gives their number."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it fits_broadcast, and else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits_broadcast(df, rows, size) else df
 
 
 def row_key(*cols: str) -> Column:
-    """One long for a row's own columns; nulls and empty strings differ."""
-    parts = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
-    return F.xxhash64(*parts)
+    """16 bytes for a row's own columns; nulls and empty strings differ."""
+    parts = [x for c in cols for x in (F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\x1f"))]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

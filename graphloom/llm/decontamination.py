@@ -1,7 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index Hamming join, exact verification.
 
-DataFrame functions only. Windows are placed where a document holds a five-word shingle of an item (others share no
-shingle with it, so their similarity is 0), aligned so that the window is item-sized. Windows and items get two 64-bit
+DataFrame functions only. Documents and items that can't reach the similarity are ruled out by the item's rarest
+shingles (see anchors); for the pairs that are left, windows are placed at every five-word shingle that the document
+shares with the item, aligned so that the window is item-sized. A window that shares none has similarity 0; one that
+stands between two such alignments isn't made, so a passage with words put in is found by its longer part. Repeated
+items are one item until the end. Windows and items get two 64-bit
 SimHashes, of their shingles and of their weighted shingles; an item's shingle weighs 1 / (items that hold it), any
 other 1. The index cuts fingerprints into 6 blocks; two fingerprints within RADIUS = 17 agree in some block up to two
 bits (6 * 3 = 18), and all values of an item's block within two bits are enumerated, so equal (length, block, value)
@@ -24,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stage
+from .common import bounded_broadcast, kept, row_key, scratch, stage
 from .native_text import anchors, keyed, shingle_hashes, word_list
 
 #: Bits of the index's blocks, and the largest distance that it guarantees to find.
@@ -75,45 +78,49 @@ def _sets(rows: DataFrame, size: int) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, k, item_id, start_word, hamming, similarity) for each document and item whose texts are that similar."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("pid"), F.col(item_col).alias("item_id"), word_list(F.col(item_text)).alias("words")).where(F.size("words") > 0)
-    items = stage(items.withColumn("n", F.size("words")).withColumn("set", _sets(items, size)), "items")
-    each = items.select("pid", F.explode("set").alias("h"))
-    weights = each.groupBy("h").agg((1.0 / F.count("*")).alias("w"))
-    weighed = each.join(weights, "h").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("ws"))
-    items = stage(items.join(weighed, "pid").withColumns(fingerprints(F.col("ws"))).select("pid", "item_id", "n", "set", "ws", "f", "wf", "words"), "items")
-    n_items = items.count()
-
-    base = keyed(docs, id_col, text_col)
-    found = stage(anchors(base.select("k", word_list(F.col("text")).alias("words")), items.select("pid", "words"), size), "anchors")
-    wanted = stage(found.select("k").distinct(), "wanted")
-    hit = base.join(bounded_broadcast(wanted), "k").select("k", "doc_id", word_list(F.col("text")).alias("all"))
-    spots = found.select("k", "n", F.greatest("at", F.lit(0)).alias("at")).distinct()
-    windows = hit.dropDuplicates(["k"]).join(spots, "k").withColumn("words", F.slice("all", F.col("at") + 1, F.col("n"))).where(F.size("words") > 0)
-    windows = windows.select("k", "n", "at", "words").withColumn("set", _sets(windows, size))
-    parts = windows.select("k", "n", "at", F.explode("set").alias("h")).join(bounded_broadcast(stage(weights, "weights")), "h", "left")
-    parts = parts.groupBy("k", "n", "at").agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("ws"))
-    parts = stage(parts.withColumns(fingerprints(F.col("ws"))), "windows")
-
-    either = lambda keys: F.explode(F.array_distinct(F.concat(keys(F.col("f")), keys(F.col("wf"))))).alias("key")
-    index = items.select("pid", "item_id", "n", F.col("f").alias("g"), F.col("wf").alias("wg"), either(item_keys))
-    index = index.select("pid", "item_id", "n", "g", "wg", "key.block", "key.value")
-    asked = parts.select("k", "n", "at", "f", "wf", either(window_keys)).select("k", "n", "at", "f", "wf", "key.block", "key.value")
-    far = F.least(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))), F.bit_count(F.col("wf").bitwiseXOR(F.col("wg"))))
-    pairs = asked.join(bounded_broadcast(index, n_items * 800), ["n", "block", "value"]).where(far <= RADIUS).select("k", "n", "at", "pid", "item_id", far.alias("hamming")).distinct()
-    sums = lambda c: F.aggregate(c, F.lit(0.0), lambda a, s: a + s["w"])
-    both = pairs.join(parts.select("k", "n", "at", "ws"), ["k", "n", "at"]).join(bounded_broadcast(items.select("pid", F.col("ws").alias("is"), "set"), n_items), "pid")
-    common = both.withColumn("common", F.filter("ws", lambda s: F.array_contains(F.col("set"), s["h"])))
-    jaccard = lambda total: total(F.col("common")) / (total(F.col("ws")) + total(F.col("is")) - total(F.col("common")))
-    scored = common.withColumn("similarity", F.round(F.greatest(jaccard(F.size), jaccard(sums)), 6))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("k", "pid", "item_id").agg(F.max(F.struct("similarity", -F.col("at"), -F.col("hamming"))).alias("t"))
-    best = best.select("k", "item_id", (-F.col("t.col2")).alias("start_word"), (-F.col("t.col3")).alias("hamming"), "t.similarity")
-    return hit.select("k", "doc_id").join(bounded_broadcast(stage(best, "leaks")), "k").select("doc_id", "k", "item_id", "start_word", "hamming", "similarity")
+    with scratch(docs.sparkSession):
+        named = benchmark.select(F.col(item_col).alias("item_id"), word_list(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+        named = stage(named.withColumn("t", F.md5(F.array_join("words", " "))), "named")
+        items = named.groupBy("t").agg(F.min("words").alias("words")).select(F.monotonically_increasing_id().alias("pid"), "t", "words")
+        items = stage(items.withColumn("n", F.size("words")).withColumn("set", _sets(items, size)), "items")
+        names = named.select("t", "item_id").join(items.select("t", "pid"), "t").select("pid", "item_id")
+        holders = names.groupBy("pid").agg(F.count("*").alias("c"))
+        each = items.select("pid", F.explode("set").alias("h"))
+        weights = stage(each.join(holders, "pid").groupBy("h").agg((1.0 / F.sum("c")).alias("w")), "weights")
+        weighed = each.join(weights, "h").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("ws"))
+        items = stage(items.join(weighed, "pid").withColumns(fingerprints(F.col("ws"))).select("pid", "n", "set", "ws", "f", "wf", "words"), "items")
+
+        base = keyed(docs, id_col, text_col)
+        found = stage(anchors(base.select("k", word_list(F.col("text")).alias("words")), items.select("pid", "words"), size, similarity, weights), "anchors")
+        wanted = stage(found.select("k").distinct(), "wanted")
+        hit = stage(base.join(bounded_broadcast(wanted), "k").select("k", "doc_id", word_list(F.col("text")).alias("all")), "hit")
+        spots = found.select("k", "n", F.greatest("at", F.lit(0)).alias("at")).distinct()
+        windows = hit.dropDuplicates(["k"]).join(spots, "k").withColumn("words", F.slice("all", F.col("at") + 1, F.col("n"))).where(F.size("words") > 0)
+        windows = windows.select("k", "n", "at", "words").withColumn("set", _sets(windows, size))
+        parts = windows.select("k", "n", "at", F.explode("set").alias("h")).join(bounded_broadcast(weights), "h", "left")
+        parts = parts.groupBy("k", "n", "at").agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("ws"))
+        parts = stage(parts.withColumns(fingerprints(F.col("ws"))), "windows")
+
+        either = lambda keys: F.explode(F.array_distinct(F.concat(keys(F.col("f")), keys(F.col("wf"))))).alias("key")
+        index = items.select("pid", "n", F.col("f").alias("g"), F.col("wf").alias("wg"), either(item_keys))
+        index = index.select("pid", "n", "g", "wg", "key.block", "key.value")
+        asked = parts.select("k", "n", "at", "f", "wf", either(window_keys)).select("k", "n", "at", "f", "wf", "key.block", "key.value")
+        far = F.least(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))), F.bit_count(F.col("wf").bitwiseXOR(F.col("wg"))))
+        pairs = asked.join(bounded_broadcast(index), ["n", "block", "value"]).where(far <= RADIUS).select("k", "n", "at", "pid", far.alias("hamming")).distinct()
+        sums = lambda c: F.aggregate(c, F.lit(0.0), lambda a, s: a + s["w"])
+        both = pairs.join(parts.select("k", "n", "at", "ws"), ["k", "n", "at"]).join(bounded_broadcast(items.select("pid", F.col("ws").alias("is"), "set")), "pid")
+        common = both.withColumn("common", F.filter("ws", lambda s: F.array_contains(F.col("set"), s["h"])))
+        jaccard = lambda total: total(F.col("common")) / (total(F.col("ws")) + total(F.col("is")) - total(F.col("common")))
+        scored = common.withColumn("similarity", F.round(F.greatest(jaccard(F.size), jaccard(sums)), 6))
+        best = scored.where(F.col("similarity") >= similarity).groupBy("k", "pid").agg(F.max(F.struct("similarity", -F.col("at"), -F.col("hamming"))).alias("t"))
+        best = best.join(names, "pid").select("k", "item_id", (-F.col("t.col2")).alias("start_word"), (-F.col("t.col3")).alias("hamming"), "t.similarity")
+        leaks = hit.select("k", "doc_id").join(bounded_broadcast(stage(best, "best")), "k").select("doc_id", "k", "item_id", "start_word", "hamming", "similarity")
+        return kept(stage(leaks, "leaks"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no passage of the benchmark, with all their columns."""
-    from .common import row_key
-
-    leaks = stage(contaminated(docs, benchmark, id_col, text_col, **options).select("k").distinct(), "leaked")
-    own = row_key(id_col, text_col)
-    return docs.join(bounded_broadcast(leaks), own == leaks["k"], "left_anti")
+    with scratch(docs.sparkSession):
+        found = contaminated(docs, benchmark, id_col, text_col, **options)
+        marks = kept(stage(found.select(F.col("k").alias("_mark")).distinct(), "leaked"))
+    return docs.join(bounded_broadcast(marks), row_key(id_col, text_col) == marks["_mark"], "left_anti")

@@ -1,10 +1,11 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 DataFrame functions only. Windows are as long as a template and overlap by 7/8, so one of them holds at least 15/16
-of any passage that holds the template; only windows near an anchor (a five-word shingle of the template) are made, since others contain
-none of it. Windows and templates get 32 MinHash values in 16 bands of 2: a window of similarity 0.7 to the template
-shares a band with probability 1 - (1 - 0.49)**16, all but 2 in 100,000 (at 0.8, 1 in 10 million). Retrieved pairs are
-verified by the exact share of the template's shingles that the window, widened by 1/8 at each end, contains.
+of any passage that holds the template; only windows near an anchor (a five-word shingle of the template) are made, since
+others contain none of it, and only for documents that may hold enough of it (see anchors). Windows and templates get
+64 MinHash values in 32 bands of 2. What is accepted is containment 0.8, where the window's similarity can be as low as
+0.6: then a band is shared with probability 1 - (1 - 0.36)**32, all but 1 in 1.5 million. Retrieved pairs are verified
+by the exact share of the template's shingles that the window, widened by 1/8 at each end, contains.
 
 Defined results: null and empty texts match nothing; templates of fewer than five words are one shingle; repeated
 documents are reported each, once for a license (best, then first window); empty tables give empty ones.
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stage
+from .common import bounded_broadcast, kept, scratch, stage
 from .native_text import anchors, keyed, shingle_hashes, word_list
 
-BANDS, ROWS = 16, 2
+BANDS, ROWS = 32, 2
 #: Notices by which public licenses are declared: (license, text). Fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -63,29 +64,29 @@ def _set(words: Column, size: int) -> Column:
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", license_col: str = "license", template_text: str = "text", size: int = 5, containment: float = 0.8) -> DataFrame:
     """(doc_id, license, start_word, containment) for each document and license found in it."""
-    known = templates.select(F.monotonically_increasing_id().alias("pid"), F.col(license_col).alias("license"), word_list(F.col(template_text)).alias("words")).where(F.size("words") > 0)
-    known = stage(known.withColumn("n", F.size("words")).withColumn("set", _set(F.col("words"), size)), "templates")
-    n_known = known.count()
-
-    base = keyed(docs, id_col, text_col)
-    found = stage(anchors(base.select("k", word_list(F.col("text")).alias("words")), known.select("pid", "words"), size), "anchors")
-    wanted = stage(found.select("k").distinct(), "wanted")
-    hit = base.join(bounded_broadcast(wanted), "k").select("k", "doc_id", word_list(F.col("text")).alias("all"))
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / 8)).cast("int")
-    grid = found.withColumn("step", step).withColumn("first", F.floor(F.greatest("at", F.lit(0)) / F.col("step")).cast("int"))
-    spots = grid.select("k", "n", "step", F.explode(F.array("first", F.col("first") + 1)).alias("g")).select("k", "n", "step", (F.col("g") * F.col("step")).alias("at")).distinct()
-    windows = hit.dropDuplicates(["k"]).join(spots, "k").withColumn("words", F.slice("all", F.col("at") + 1, F.col("n"))).where(F.size("words") > 0)
-    wide = F.slice("all", F.greatest(F.lit(1), F.col("at") + 1 - F.col("step")), F.col("n") + 2 * F.col("step"))
-    windows = windows.select("k", "n", "at", _set(F.col("words"), size).alias("own"), _set(wide, size).alias("wide"), F.array_join(wide, " ").alias("plain"))
-    windows = stage(windows, "windows")
-
-    asked = windows.select("k", "n", "at", F.explode(minhash_bands(F.col("own"))).alias("b")).select("k", "n", "at", "b.*")
-    index = known.select("pid", "license", "n", F.explode(minhash_bands(F.col("set"))).alias("b")).select("pid", "license", "n", "b.*")
-    pairs = asked.join(bounded_broadcast(index, n_known * BANDS), ["n", "band", "value"]).select("k", "n", "at", "pid", "license").distinct()
-    both = pairs.join(windows, ["k", "n", "at"]).join(bounded_broadcast(known.select("pid", "set", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line")), n_known), "pid")
-    share = F.size(F.array_intersect("wide", "set")) / F.size("set")
-    short = F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.col("line")).cast("double")
-    scored = both.withColumn("containment", F.round(F.when(F.col("n") < size, short).otherwise(share), 6)).where(F.col("containment") >= containment)
-    best = scored.groupBy("k", "license").agg(F.max(F.struct("containment", -F.col("at"))).alias("t"))
-    best = stage(best.select("k", "license", (-F.col("t.col2")).alias("start_word"), "t.containment"), "licenses")
-    return hit.select("k", "doc_id").join(bounded_broadcast(best), "k").select("doc_id", "license", "start_word", "containment")
+    with scratch(docs.sparkSession):
+        known = templates.select(F.monotonically_increasing_id().alias("pid"), F.col(license_col).alias("license"), word_list(F.col(template_text)).alias("words")).where(F.size("words") > 0)
+        known = stage(known.withColumn("n", F.size("words")).withColumn("set", _set(F.col("words"), size)), "templates")
+
+        base = keyed(docs, id_col, text_col)
+        found = stage(anchors(base.select("k", word_list(F.col("text")).alias("words")), known.select("pid", "words"), size, containment), "anchors")
+        wanted = stage(found.select("k").distinct(), "wanted")
+        hit = stage(base.join(bounded_broadcast(wanted), "k").select("k", "doc_id", word_list(F.col("text")).alias("all")), "hit")
+        step = F.greatest(F.lit(1), F.floor(F.col("n") / 8)).cast("int")
+        grid = found.withColumn("step", step).withColumn("first", F.floor(F.greatest("at", F.lit(0)) / F.col("step")).cast("int"))
+        spots = grid.select("k", "n", "step", F.explode(F.array("first", F.col("first") + 1)).alias("g")).select("k", "n", "step", (F.col("g") * F.col("step")).alias("at")).distinct()
+        windows = hit.dropDuplicates(["k"]).join(spots, "k").withColumn("words", F.slice("all", F.col("at") + 1, F.col("n"))).where(F.size("words") > 0)
+        wide = F.slice("all", F.greatest(F.lit(1), F.col("at") + 1 - F.col("step")), F.col("n") + 2 * F.col("step"))
+        windows = windows.select("k", "n", "at", _set(F.col("words"), size).alias("own"), _set(wide, size).alias("wide"), F.array_join(wide, " ").alias("plain"))
+        windows = stage(windows, "windows")
+
+        asked = windows.select("k", "n", "at", F.explode(minhash_bands(F.col("own"))).alias("b")).select("k", "n", "at", "b.*")
+        index = known.select("pid", "license", "n", F.explode(minhash_bands(F.col("set"))).alias("b")).select("pid", "license", "n", "b.*")
+        pairs = asked.join(bounded_broadcast(index), ["n", "band", "value"]).select("k", "n", "at", "pid", "license").distinct()
+        both = pairs.join(windows, ["k", "n", "at"]).join(bounded_broadcast(known.select("pid", "set", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"))), "pid")
+        share = F.size(F.array_intersect("wide", "set")) / F.size("set")
+        short = F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.col("line")).cast("double")
+        scored = both.withColumn("containment", F.round(F.when(F.col("n") < size, short).otherwise(share), 6)).where(F.col("containment") >= containment)
+        best = scored.groupBy("k", "license").agg(F.max(F.struct("containment", -F.col("at"))).alias("t"))
+        best = stage(best.select("k", "license", (-F.col("t.col2")).alias("start_word"), "t.containment"), "licenses")
+        return kept(stage(hit.select("k", "doc_id").join(bounded_broadcast(best), "k").select("doc_id", "license", "start_word", "containment"), "found"))

@@ -8,11 +8,14 @@ hash of its id and w its quality weight; keys are taken from the largest until t
 document at the border is taken if that comes nearer to the target.
 
 No source is sorted in one task: the budget's border is found as radix digits of the key (two levels of 256 bins whose
-word totals are pre-aggregated), and only documents of the border bin are sorted.
-
-Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, last in order; null
-doc_ids share a key and are ordered by size and text; a quality that is null or not positive counts as the least
-positive weight; an empty table gives an empty one. Reruns agree, as keys depend on seed, id and quality alone.
+word totals are pre-aggregated), and only documents of the border bin are sorted. What comes out is one row a source, its
+cut: the last document that is taken once more. Every document is held against its source's cut where it stands, so no
+document is shuffled.
+
+Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, last in order; a null
+doc_id's key comes from its text; rows of equal id and text are taken together; a quality that is null or not positive
+counts as the least positive weight; an empty table gives an empty one. Reruns agree, as keys depend on seed, id and
+quality alone (on the text for null ids). Other columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, row_key, stage
+from .common import fits_broadcast, kept, row_key, scratch, stage
 
 #: Fixed weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A target is at most so many times its source's size.
 EPOCHS = 3
 _BINS = 256
+#: Parts of a source's rows where sources are too many to be broadcast.
+_SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -54,55 +59,94 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     return level.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def sampling_key(seed: str, doc_id: Column, quality: Column) -> Column:
-    """u ** (1 / w), in (0, 1): the larger, the earlier a document is taken."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"))), 1, 12), 16, 10).cast("double")
+def sampling_key(seed: str, name: Column, quality: Column) -> Column:
+    """u ** (1 / w), in (0, 1): the larger, the earlier a document is taken. name: what tells documents apart."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name)), 1, 12), 16, 10).cast("double")
     u = (bits + 0.5) / float(1 << 48)
     return F.pow(u, 1.0 / F.when(quality > 0, quality).otherwise(1e-3))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, k, size, source_size, target, taken) for every document; taken / size is how often it is in the mix."""
-    size = word_count(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), (F.col(quality_col) if quality_col else F.lit(None)).cast("double").alias("q")).withColumn("size", size)
-    quality = F.col("q") if quality_col else lexical_quality(F.col("text"), F.col("size"))
-    key = sampling_key(seed, F.col("doc_id"), quality)
-    at = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor((1 - F.col("key")) * 65536))).cast("int")
-    slim = base.withColumn("key", key).withColumn("bin", at).select("doc_id", "k", "source", "size", "key", "bin")
-    slim = stage(slim, "sizes")
+def _at_source(rows: DataFrame, source: Column, part: Column, side: DataFrame, how: str = "left") -> DataFrame:
+    """rows with the columns of side, which has one row a source (src): broadcast, or in salted parts if too large."""
+    if fits_broadcast(side):
+        return rows.join(F.broadcast(side), source.eqNullSafe(side["src"]), how)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.join(salted, source.eqNullSafe(salted["src"]) & (F.pmod(F.xxhash64(part), F.lit(_SALTS)) == salted["_salt"]), how).drop(salted["_salt"])
+
+
+def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality_col: str | None, seed: str) -> dict[str, Column]:
+    """What mixing knows of a document, as columns over docs."""
+    i, text = F.col(id_col), F.col(text_col)
+    k, size = row_key(id_col, text_col), word_count(text)
+    quality = F.col(quality_col).cast("double") if quality_col else lexical_quality(text, size)
+    return {"doc_id": i, "k": k, "source": F.col(source_col), "size": size, "key": sampling_key(seed, F.coalesce(i.cast("string"), F.hex(k)), quality)}
+
 
+def _cuts(slim: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """(src, source_size, target, times, cut) by source, from (doc_id, k, source, size, key) of all documents.
+
+    cut: (key, doc_id, size, k) of the last document taken once more than `times`, null if there is none."""
+    at = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor((1 - F.col("key")) * 65536))).cast("int")
+    rows = slim.withColumn("bin", at)
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = targets.withColumn("times", whole).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
-    budgets = stage(budgets, "targets")
-    count = budgets.count()
-
-    def border(rows: DataFrame, bin_: Column, spent: str) -> DataFrame:
-        """For each source the bin in which its budget ends, and the words of all bins before."""
-        w = Window.partitionBy("source").orderBy("b")
-        bins = rows.groupBy("source", bin_.alias("b")).agg(F.sum("size").alias("s"), F.first("rest").alias("rest"), F.first(spent).alias("base"))
-        bins = bins.withColumn("before", F.sum("s").over(w) - F.col("s") + F.col("base"))
-        return bins.where("before < rest").groupBy("source").agg(F.max(F.struct("b", "before")).alias("t")).select(F.col("source").alias("src"), F.col("t.b").alias("b"), F.col("t.before").alias("before"))
+    budgets = stage(budgets.withColumnRenamed("source", "src"), "targets")
 
-    def at_source(rows: DataFrame, side: DataFrame, how: str = "left") -> DataFrame:
-        return rows.join(bounded_broadcast(side, count), rows["source"].eqNullSafe(side["src"]), how)
+    def border(bins: DataFrame, known: DataFrame) -> DataFrame:
+        """For each source the bin in which its budget ends, and the words of all bins before. bins: (source, b, s)."""
+        w = Window.partitionBy("src").orderBy("b")
+        met = bins.join(known, bins["source"].eqNullSafe(known["src"])).withColumn("before", F.sum("s").over(w) - F.col("s") + F.col("spent"))
+        return met.where("before < rest").groupBy("src").agg(F.max(F.struct("b", "before")).alias("t")).select("src", "t.b", "t.before")
 
-    named = budgets.select(F.col("source").alias("src"), "source_size", "target", "times", "rest")
-    rows = at_source(slim, named).drop("src")
+    part = F.col("k")
     high = F.floor(F.col("bin") / _BINS).cast("int")
-    first = stage(border(rows.withColumn("zero", F.lit(0).cast("long")), high, "zero"), "border")
-    inner = at_source(rows, first, "inner").where(high == F.col("b")).drop("src", "b").withColumn("low", F.pmod("bin", F.lit(_BINS)))
-    second = border(inner, F.col("low"), "before")
-    cut = first.select("src", F.col("b").alias("hi")).join(second.select(F.col("src").alias("src2"), F.col("b").alias("lo"), "before"), F.col("src").eqNullSafe(F.col("src2")), "left")
-    cut = stage(cut.select("src", (F.col("hi") * _BINS + F.coalesce("lo", F.lit(0))).cast("int").alias("edge"), F.coalesce("before", F.lit(0)).alias("spent")), "edge")
-
-    placed = stage(at_source(rows, cut).drop("src").withColumn("part", F.when(F.col("edge").isNull() | (F.col("bin") > F.col("edge")), 0).when(F.col("bin") < F.col("edge"), 1).otherwise(2)), "placed")
-    run = Window.partitionBy("source").orderBy(F.desc("key"), "doc_id", "size", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = placed.where("part = 2").withColumn("end", F.sum("size").over(run) + F.col("spent"))
-    extra = F.col("end") - F.col("rest") <= F.col("rest") - (F.col("end") - F.col("size"))
-    out = placed.where("part < 2").withColumn("more", F.col("part").cast("long")).drop("end")
-    out = out.unionByName(last.withColumn("more", extra.cast("long")).drop("end"))
-    return out.select("doc_id", "k", "source", "size", "source_size", "target", ((F.col("times") + F.col("more")) * F.col("size")).cast("long").alias("taken"))
+    bins = rows.groupBy("source", high.alias("b")).agg(F.sum("size").alias("s"))
+    first = stage(border(bins, budgets.select("src", "rest", F.lit(0).cast("long").alias("spent"))), "border")
+    inner = _at_source(rows, F.col("source"), part, first, "inner").where(high == F.col("b")).groupBy("source", F.pmod("bin", F.lit(_BINS)).alias("b")).agg(F.sum("size").alias("s"))
+    known = budgets.select("src", "rest").join(first.select(F.col("src").alias("src2"), F.col("before").alias("spent")), F.col("src").eqNullSafe(F.col("src2"))).drop("src2")
+    second = stage(border(inner, known).withColumnRenamed("src", "src3"), "border")
+    edge = first.select("src", F.col("b").alias("hi")).join(second, F.col("src").eqNullSafe(F.col("src3")))
+    edge = stage(edge.join(budgets.select(F.col("src").alias("src2"), "rest"), F.col("src").eqNullSafe(F.col("src2"))).select("src", "rest", (F.col("hi") * _BINS + F.col("b")).cast("int").alias("edge"), F.col("before").alias("spent")), "edge")
+
+    last = _at_source(rows, F.col("source"), part, edge, "inner").where("bin = edge")
+    last = last.groupBy("src", "rest", "spent", "key", "doc_id", "size", "k").agg(F.sum("size").alias("all"))
+    run = Window.partitionBy("src").orderBy(F.desc("key"), "doc_id", "size", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("end", F.sum("all").over(run) + F.col("spent"))
+    last = last.where(F.col("end") - F.col("rest") <= F.col("rest") - (F.col("end") - F.col("all")))
+    # the border bin may give none: then all bins before it are taken, and the cut stands at its upper end
+    taken = last.groupBy("src").agg(F.max(F.struct((-F.col("key")).alias("minus"), "doc_id", "size", "k")).alias("cut"))
+    cut = edge.select("src", "edge").join(taken.withColumnRenamed("src", "src2"), F.col("src").eqNullSafe(F.col("src2")), "left").drop("src2").withColumnRenamed("src", "src2")
+    return budgets.join(cut, F.col("src").eqNullSafe(F.col("src2")), "left").select("src", "source_size", "target", "times", "edge", "cut")
+
+
+def _taken(size: Column, key: Column, doc_id: Column, k: Column) -> Column:
+    """How often the cut's source takes a document."""
+    at = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor((1 - key) * 65536))).cast("int")
+    own = F.struct((-key).alias("minus"), doc_id.alias("doc_id"), size.alias("size"), k.alias("k"))
+    more = F.when(F.col("edge").isNull(), False).when(at != F.col("edge"), at < F.col("edge")).otherwise(F.coalesce(own <= F.col("cut"), F.lit(False)))
+    return F.col("times") + more.cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """(doc_id, k, source, size, source_size, target, taken) for every document: taken / size is how often it is in the mix."""
+    with scratch(docs.sparkSession):
+        slim = kept(stage(docs.select(*[c.alias(n) for n, c in _facts(docs, id_col, text_col, source_col, quality_col, seed).items()]), "sizes"))
+        cuts = kept(stage(_cuts(slim, weights, epochs), "cuts"))
+    met = _at_source(slim, F.col("source"), F.col("k"), cuts)
+    times = _taken(F.col("size"), F.col("key"), F.col("doc_id"), F.col("k"))
+    return met.select("doc_id", "k", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """The mix itself: every document with all its columns, as often as the mix takes it; texts of no word aren't taken."""
+    with scratch(docs.sparkSession):
+        slim = stage(docs.select(*[c.alias(n) for n, c in _facts(docs, id_col, text_col, source_col, quality_col, seed).items()]), "sizes")
+        cuts = kept(stage(_cuts(slim, weights, epochs).select(*[F.col(c).alias(c) for c in ("src", "times", "edge", "cut")]), "cuts"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in _facts(docs, id_col, text_col, source_col, quality_col, seed).items()])
+    met = _at_source(own, F.col("source"), F.col("k"), cuts)
+    times = F.when(F.col("size") > 0, _taken(F.col("size"), F.col("key"), F.col("doc_id"), F.col("k"))).otherwise(0).cast("int")
+    return met.select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_doc.*")
 
 
 SQL = r"""

@@ -1,21 +1,23 @@
 """Near-duplicate documents: MinHash signatures, a multi-index Hamming join, exact confirmation on full sets.
 
-1. Every text gives its set of distinct word shingles, from which come a 128-bit fingerprint of the set and a signature
-   of 48 symbols of 16 bits (b-bit MinHash). Rows with one fingerprint are one class (identical sets); only classes
-   go on, so copies are never paired with each other.
+1. Every text gives its set of distinct word shingles, from which come a 128-bit digest (BLAKE2) of the whole set and a
+   signature of 48 symbols of 16 bits (b-bit MinHash). Rows with one digest and set size are one class; each row of a
+   class is held against the class's first on the full sets, and one that differs would get a class of its own. Only
+   classes go on, so copies are never paired with each other.
 2. Multi-index: the signature is 12 chunks of 4 symbols. Two signatures that differ in at most 23 symbols have a chunk
    with at most one differing symbol (pigeonhole: 12 * 2 = 24), so both hold the same chunk with that symbol masked.
    Enumerating the four masks of each chunk gives 48 keys, and equal keys retrieve every pair within 23.
    A pair at similarity 0.85 is beyond 23 with a probability near 1e-8, at 0.8 near 3e-6.
-3. Links are confirmed by exact intersection of the full sets. So as not to enumerate the pairs of a hot bucket, rounds
-   of stars come first: each class is held against one centre of its buckets, confirmed links are contracted, and only
-   pairs of different components remain for the last round. That round orders the shingles of all classes in buckets
-   still open by how few classes hold them. Two sets that are similar enough share one of their rarest shingles
-   (prefix and position bounds). An outside class meets a whole star of the first round by what its centre holds, and
-   is held against the centre; only members that the two intersections with the centre don't rule out are paired with
-   it. Shingles that a member holds besides its centre pair it directly. All pairs pass the signature distance and the
-   full sets: first one pair of each two components, whose links are contracted, then all that remain. Copies that each
-   have their own changes share none, and make no pair. No link between components is lost.
+3. Links are confirmed by exact intersection of the full sets. Buckets of at most SMALL classes give all their pairs,
+   which the signature distance filters. Larger ones give a star first: each class with the bucket's least. Each
+   class's nearest of these is confirmed and links are contracted; then the other small pairs that still join two
+   components, one for each two first. Of the large buckets that still have several components, a star between
+   components follows, and the last round orders the shingles of their classes by how few classes hold them. Two sets
+   that are similar enough share one of their rarest shingles (prefix and position bounds). An outside class meets a
+   whole star by what its centre holds, and is held against the centre; only members that the two intersections with
+   the centre don't rule out are paired with it. Shingles that a member holds besides its centre pair it directly. All
+   pairs pass the signature distance and the full sets. Copies that each have their own changes share none, and make
+   no pair. No link between components is lost.
 
 Defined results: null or empty texts have an empty set, their own component and are kept; a text with fewer words than
 a shingle has one shingle; repeated rows share a component; a null doc_id counts as larger than any other, and a
@@ -24,20 +26,23 @@ component of only such rows is null. Columns of the input other than the two nam
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import bounded_broadcast, row_key, slices, stage, text_bytes
+from .common import bounded_broadcast, kept, row_key, scratch, slices, stage, text_bytes, unstage
 from .components import components
 
 CHUNKS, SYMBOLS = 12, 4
 #: Largest signature distance that the index guarantees to find.
 RADIUS = 2 * CHUNKS - 1
+#: Classes of a bucket whose pairs are all tried; larger buckets take the stars and the rarest shingles.
+SMALL = 16
 _SEEDS = tokens.mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _FACTORS = tokens.mix(_SEEDS) | np.uint64(1)
 SIG = [f"s{c}" for c in range(CHUNKS)]
@@ -56,37 +61,39 @@ def _per_text(values: np.ndarray, offsets: np.ndarray, how: np.ufunc) -> np.ndar
     return out
 
 
-def signatures(size: int):
-    """mapInArrow function: (doc_id, k, text) to (doc_id, k, n, f1, f2, s0 ..)."""
+def signatures(size: int, digest_bytes: int):
+    """mapInArrow function: (doc_id, k, text) to (doc_id, k, n, f, s0 ..); f: digest of the sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column(2))
             hashes, text, _, _ = tokens.words(raw, offsets)
             values, ends = tokens.shingles(hashes, text, batch.num_rows, size)
-            cols = [_signed(np.diff(ends)), _signed(_per_text(tokens.mix(values ^ _SEEDS[0]), ends, np.add)), _signed(_per_text(tokens.mix(values ^ _SEEDS[1]), ends, np.add))]
+            data = memoryview(values.tobytes())
+            digests = [hashlib.blake2b(data[8 * i : 8 * j], digest_size=digest_bytes).digest() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            cols = [pa.array(_signed(np.diff(ends))), pa.array(digests, pa.binary())]
             for c in range(CHUNKS):
                 packed = np.zeros(batch.num_rows, np.uint64)
                 for s in range(SYMBOLS):
                     k = c * SYMBOLS + s
                     least = _per_text((values ^ _SEEDS[k]) * _FACTORS[k], ends, np.minimum)
                     packed |= (tokens.mix(least) >> np.uint64(48)) << np.uint64(16 * s)
-                cols.append(_signed(packed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols)], names=["doc_id", "k", "n", "f1", "f2", *SIG])
+                cols.append(pa.array(_signed(packed)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "k", "n", "f", *SIG])
 
     return run
 
 
 def full_sets(size: int):
-    """mapInArrow function: (node, text) to (node, items): the whole sorted set."""
+    """mapInArrow function: (k, node, text) to (k, node, items): the whole sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            raw, offsets = text_bytes(batch.column(1))
+            raw, offsets = text_bytes(batch.column(2))
             hashes, text, _, _ = tokens.words(raw, offsets)
             values, ends = tokens.shingles(hashes, text, batch.num_rows, size)
             items = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_signed(values)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), items], names=["k", "node", "items"])
 
     return run
 
@@ -118,6 +125,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
+def _stars(left: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp, g, c): each of the classes left (node, comp) with the centre of its star, and the star's size.
+
+    A class's centre is the one linked with it that has most links, if that isn't another's centre itself."""
+    ends = links.union(links.select("b", "a")).toDF("node", "g")
+    many = ends.groupBy("g").agg(F.count("*").alias("many"))
+    best = ends.join(left.select("node"), "node").join(many, "g").groupBy("node").agg(F.max(F.struct("many", "g")).alias("t")).select("node", "t.g")
+    best = stage(best, "centres")
+    own = best.select(F.col("g").alias("node"), F.lit(True).alias("centre")).distinct()
+    dealt = left.join(best, "node", "left").join(own, "node", "left").select("node", "comp", F.when(F.col("centre"), F.col("node")).otherwise(F.coalesce("g", "node")).alias("g"))
+    dealt = stage(dealt, "left")
+    return dealt.join(dealt.groupBy("g").agg(F.count("*").alias("c")), "g").select("node", "comp", "g", "c")
+
+
 def _ranked(sets: DataFrame, stars: DataFrame) -> DataFrame:
     """(item, node, n, i, comp, g, c, core): the shingles of the classes in stars that other sets hold too.
 
@@ -127,11 +148,13 @@ def _ranked(sets: DataFrame, stars: DataFrame) -> DataFrame:
     often = stage(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "often")
     each = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "item"))
-    ranked = stage(items.join(often, "item").select("item", "node", "n", place.cast("int").alias("i")), "ranked")
+    placed = items.join(often, "item").join(stars, "node").select("item", "node", "n", place.cast("int").alias("i"), "comp", "g", "c")
     centres = stars.where("g != node").select(F.col("g").alias("node")).distinct()
-    held = ranked.join(centres, "node").select(F.col("node").alias("g"), "item", F.lit(True).alias("held"))
-    rows = ranked.join(stars, "node").join(held, ["g", "item"], "left")
-    return stage(rows.select("item", "node", "n", "i", "comp", "g", "c", (F.col("held").isNotNull() | (F.col("g") == F.col("node"))).alias("core")), "ranked")
+    held = sets.join(centres, "node").select(F.col("node").alias("g"), F.explode("items").alias("item"), F.lit(True).alias("held"))
+    rows = placed.join(held, ["g", "item"], "left")
+    ranked = stage(rows.select("item", "node", "n", "i", "comp", "g", "c", (F.col("held").isNotNull() | (F.col("g") == F.col("node"))).alias("core")), "ranked")
+    unstage(often)
+    return ranked
 
 
 def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,103 +190,157 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return beside.union(through).groupBy("a", "b", "ca", "cb").agg(F.max("score").alias("score"))
 
 
-def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): a row (doc_id, k, n, node) for each document, and (node, component) for linked classes."""
+def _texts_sets(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(k, node, items) of the wanted (k, node)."""
+    texts = base.join(bounded_broadcast(wanted), "k").select("k", "node", "text")
+    return texts.mapInArrow(full_sets(size), "k binary, node bigint, items array<bigint>")
+
+
+def _classes(base: DataFrame, size: int, digest_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows without words; rows (doc_id, k, n, node); classes (node, k, n, s0 ..), whose rows have equal sets."""
+    kinds = ", ".join(["doc_id bigint", "k binary", "n bigint", "f binary", *(f"{s} bigint" for s in SIG)])
+    rows = stage(base.mapInArrow(signatures(size, digest_bytes), kinds), "signatures")
+    one = F.min(F.struct("k", *SIG)).alias("one")
+    classes = rows.where("n > 0").groupBy("f", "n").agg(one, F.count("*").alias("c"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "f", "n", "c", "one.*"), "classes")
+    named = rows.where("n > 0").select("doc_id", "k", "n", "f").join(classes.select("f", "n", "node", "c", F.col("k").alias("head")), ["f", "n"])
+    placed = stage(named.select("doc_id", "k", "n", "node", "c", "head"), "placed")
+    empty = stage(rows.where("n = 0").select("doc_id", "k", "n"), "empty")
+
+    others = stage(placed.where("c > 1 and k != head").select("k", "node").distinct(), "others")
+    if others.take(1):
+        heads = _texts_sets(base, stage(classes.where("c > 1").select("k", "node"), "heads"), size).dropDuplicates(["node"])
+        differ = _texts_sets(base, others, size).join(heads.select("node", F.col("items").alias("ours")), "node").where("items != ours")
+        differ = stage(differ.select("k", "node", "items").dropDuplicates(["k"]), "differ")
+        if differ.take(1):  # two sets of one digest: classes of their own, by the sets themselves
+            apart = differ.groupBy("node", "items").agg(F.min("k").alias("head"))
+            apart = stage(apart.select((-1 - F.monotonically_increasing_id()).alias("own"), "node", "items", "head"), "apart")
+            moved = stage(differ.join(apart, ["node", "items"]).select("k", "own"), "moved")
+            more = apart.join(rows.dropDuplicates(["k"]), F.col("head") == F.col("k")).select(F.col("own").alias("node"), "f", "n", F.lit(1).cast("long").alias("c"), "k", *SIG)
+            classes = stage(classes.union(more), "classes")
+            placed = placed.join(moved, "k", "left").withColumn("node", F.coalesce("own", "node"))
+    placed = stage(placed.select("doc_id", "k", "n", "node"), "placed")
+    unstage(rows)
+    return empty, placed, classes
+
+
+def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, digest_bytes: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(empty, rows, labels): rows without words, a row (doc_id, k, n, node) for each other, (node, component) of links."""
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    kinds = ", ".join(["doc_id bigint", "k bigint", "n bigint", "f1 bigint", "f2 bigint", *(f"{s} bigint" for s in SIG)])
-    rows = stage(base.mapInArrow(signatures(size), kinds).withColumn("node", F.xxhash64("f1", "f2", "n")), "signatures")
-    one = F.min(F.struct("k", "n", *SIG)).alias("one")
-    classes = stage(rows.where("n > 0").groupBy("node").agg(one).select("node", "one.*"), "classes")
+    empty, rows, classes = _classes(base, size, digest_bytes)
 
     masks = [~0xFFFF, ~(0xFFFF << 16), ~(0xFFFF << 32), (1 << 48) - 1]
     keys = [F.xxhash64(F.lit(c * SYMBOLS + i), F.col(SIG[c]).bitwiseAND(F.lit(m))) for c in range(CHUNKS) for i, m in enumerate(masks)]
     index = classes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("b")).where("c > 1").select("key", "b")
-    shared = stage(shared, "buckets")
-    members = stage(index.join(shared, "key").select("key", "node", "b"), "members")
+    shared = stage(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("b")).where("c > 1"), "buckets")
+    members = stage(index.join(shared, "key").select("key", "node", "b", "c"), "members")
 
     full = classes.select("node", F.struct("n", *SIG).alias("sig"))
     sa, sb = full.select(F.col("node").alias("a"), F.col("sig").alias("x")), full.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    tried = members.where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    tried = tried.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("a", "b", _distance("x", "y").alias("d"))
-    nearest = tried.groupBy("a").agg(F.min(F.struct("d", "b")).alias("t")).select("a", "t.b")
-    nearest = stage(nearest, "nearest")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ..) that may reach the similarity, with their distance d."""
+        return pairs.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).withColumn("d", _distance("x", "y")).drop("x", "y")
+
+    few = members.where(F.col("c") <= SMALL).select("key", "node")
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    pairs = stage(near(pairs), "pairs")
+    spokes = near(members.where((F.col("c") > SMALL) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct())
+    both = pairs.union(pairs.select("b", "a", "d")).union(spokes.select("a", "b", "d"))
+    nearest = stage(both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("t")).select("a", "t.b"), "nearest")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Whole sets of these classes, each from one document."""
-        wanted = stage(nodes.distinct().join(classes.select("node", "k"), "node"), "wanted")
-        texts = base.join(bounded_broadcast(wanted), "k").select("node", "text")
-        return stage(texts.mapInArrow(full_sets(size), "node bigint, items array<bigint>").dropDuplicates(["node"]), "sets")
-
-    sets = sets_of(nearest.select(F.explode(F.array("a", "b")).alias("node")))
-    links = stage(_confirmed(nearest, sets, percent), "links")
-    labels = stage(components(links, "a", "b"), "labels")
+        wanted = stage(nodes.distinct().join(classes.select("node", "k"), "node").select("k", "node"), "wanted")
+        return stage(_texts_sets(base, wanted, size).select("node", "items").dropDuplicates(["node"]), "sets")
 
-    def still_open(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All members with their components, and the buckets that have several components."""
-        at = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        several = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "node")).alias("least")).where("lo != hi")
-        return at, stage(several.select("key", F.col("least.node").alias("b"), F.col("least.comp").alias("cb")), "open")
+    links = labels = None
 
     def contract(pairs: DataFrame, sets: DataFrame) -> bool:
         """Confirm the pairs and contract their links; False if there are none."""
         nonlocal links, labels
         more = stage(_confirmed(pairs, sets, percent), "links")
-        if not more.take(1):
+        if links is not None and not more.take(1):
             return False
-        links = links.union(more)
+        links = more if links is None else links.union(more)
         labels = stage(components(links, "a", "b"), "labels")
         return True
 
-    # one more star, between components: the nearest members of each two
-    nearby = links.select(F.col("a").alias("node"), F.col("b").alias("g"))
-    at, open_ = still_open(labels)
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ..) of different components by now, with these as ca < cb."""
+        ends = [labels.select(F.col("node").alias(m), F.col("component").alias(f"c{m}")) for m in "ab"]
+        met = pairs.drop("ca", "cb").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        met = met.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca != cb")
+        return met.withColumn("low", F.least("ca", "cb")).withColumn("cb", F.greatest("ca", "cb")).withColumn("ca", F.col("low")).drop("low")
+
+    def settle(found: DataFrame, best: Column, sets: DataFrame) -> None:
+        """All pairs of different components: first the best of each two, then what is left."""
+        if contract(found.groupBy("ca", "cb").agg(F.min(F.struct(best.alias("rank"), "a", "b")).alias("t")).select("t.a", "t.b"), sets):
+            contract(stage(apart(found).select("a", "b"), "rest"), sets)
+        else:
+            contract(found, sets)
+
+    contract(nearest, sets_of(nearest.select(F.explode(F.array("a", "b")).alias("node"))))
+    found = stage(apart(pairs), "cross")
+    if found.take(1):
+        settle(found, F.col("d"), sets_of(found.select(F.explode(F.array("a", "b")).alias("node"))))
+
+    def still_open() -> tuple[DataFrame, DataFrame]:
+        """Members of the large buckets with their components, and those of these buckets that have several."""
+        many = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("many"))
+        at = members.where(F.col("c") > SMALL).join(labels, "node", "left").join(many, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("many", F.lit(0)).alias("many"))
+        several = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("many", "comp", "node")).alias("most")).where("lo != hi")
+        return at, stage(several.select("key", F.col("most.node").alias("b"), F.col("most.comp").alias("cb")), "open")
+
+    # large buckets: a star between components, about the class with most links: the nearest members of each two
+    at, open_ = still_open()
     if not open_.take(1):
-        return rows.select("doc_id", "k", "n", "node"), labels
+        return empty, rows, labels
     spokes = at.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(open_, "key").where("ca != cb").select("a", "ca", "b", "cb").distinct()
-    spokes = spokes.join(sa, "a").join(sb, "b").where(_near("x", "y", percent)).select("ca", "cb", F.struct(_distance("x", "y").alias("d"), "a", "b").alias("t"))
-    found = stage(spokes.groupBy("ca", "cb").agg(F.min("t").alias("t")).select("t.a", "t.b"), "cross")
+    found = stage(near(spokes).groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("t")).select("t.a", "t.b"), "cross")
     if found.take(1) and contract(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("node")))):
-        at, open_ = still_open(labels)
+        at, open_ = still_open()
         if not open_.take(1):
-            return rows.select("doc_id", "k", "n", "node"), labels
+            return empty, rows, labels
 
-    # what is left, in buckets with several components: first one pair of each two components, then all
+    # what is left in them: the pairs that share one of their rarest shingles
     left = at.join(open_.select("key"), "key").select("node", "comp").distinct()
-    left = stage(left.join(nearby, "node", "left").select("node", "comp", F.coalesce("g", "node").alias("g")), "left")
-    stars = stage(left.join(left.groupBy("g").agg(F.count("*").alias("c")), "g"), "stars")
+    stars = stage(_stars(left, links), "stars")
     sets = sets_of(stars.select(F.explode(F.array("node", "g")).alias("node")))
-    found = _rare_pairs(_ranked(sets, stars), sets, percent).join(sa, "a").join(sb, "b").where(_near("x", "y", percent))
-    found = stage(found.select("a", "b", "ca", "cb", "score"), "cross")
-    if contract(found.groupBy("ca", "cb").agg(F.max(F.struct("score", "a", "b")).alias("t")).select("t.a", "t.b"), sets):
-        ends = [labels.select(F.col("node").alias(m), F.col("component").alias(f"c{m}")) for m in "ab"]
-        rest = found.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    else:
-        rest = found.select("a", "b")
-    contract(stage(rest, "cross"), sets)
-    return rows.select("doc_id", "k", "n", "node"), labels
+    found = stage(near(_rare_pairs(_ranked(sets, stars), sets, percent)).select("a", "b", "ca", "cb", "score"), "cross")
+    settle(found, -F.col("score"), sets)
+    return empty, rows, labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, digest_bytes: int = 16) -> DataFrame:
     """(doc_id, k, n_shingles, component_id, kept): every document with the smallest doc_id that links reach.
 
-    size: words of a shingle. percent: least similarity (Jaccard), in hundredths. k: row_key(id, text)."""
-    rows, labels = link_classes(docs, id_col, text_col, size, percent)
-    placed = rows.where("n > 0").join(labels, "node", "left").select("doc_id", "k", "n", F.coalesce("component", "node").alias("comp"))
-    heads = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1")
-    heads = stage(heads.select("comp", "component_id"), "heads")
-    grouped = placed.join(heads, "comp", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = grouped.union(rows.where("n = 0").select("doc_id", "k", "n", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    size: words of a shingle. percent: least similarity (Jaccard), in hundredths. k: row_key(id, text). The result is
+    staged; all that was staged for it is deleted."""
+    with scratch(docs.sparkSession):
+        empty, rows, labels = link_classes(docs, id_col, text_col, size, percent, digest_bytes)
+        placed = rows.join(labels, "node", "left").select("doc_id", "k", "n", F.coalesce("component", "node").alias("comp"))
+        heads = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1")
+        heads = stage(heads.select("comp", "component_id"), "heads")
+        grouped = placed.join(heads, "comp", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        out = grouped.union(empty.select("doc_id", "k", "n", "doc_id"))
+        return kept(stage(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents less all but the first (smallest id) of each group; exact repetitions of a row count once."""
-    found = stage(near_duplicates(docs, id_col, text_col, size, percent).select("k", "kept"), "kept")
-    drop = found.where("not kept").select("k").distinct()
-    again = found.groupBy("k").count().where("count > 1").take(1)
-    docs = docs.dropDuplicates([id_col, text_col]) if again else docs
-    marks = stage(drop, "dropped")
-    keep = row_key(id_col, text_col)
-    return docs.join(bounded_broadcast(marks), keep == marks["k"], "left_anti")
+    """The documents less all but the first (smallest id) of each group, with all their columns.
+
+    Rows of equal id and text count once: the one that is least, as JSON, in its other columns."""
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, id_col, text_col, size, percent).select("k", "kept")
+        keys = found.groupBy("k").agg(F.min("kept").alias("kept"), F.count("*").alias("c"))
+        marks = kept(stage(keys.where("not kept or c > 1").select(F.col("k").alias("_mark"), F.col("kept").alias("_first")), "marks"))
+    own = row_key(id_col, text_col)
+    side = marks.select("_mark")
+    out = docs.join(bounded_broadcast(side), own == side["_mark"], "left_anti")
+    again = marks.where("_first").select("_mark")
+    if not again.take(1):
+        return out
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    once = docs.join(bounded_broadcast(again), own == again["_mark"]).groupBy(again["_mark"].alias("_mark")).agg(F.min_by(whole, F.to_json(whole)).alias("_one"))
+    return out.union(once.select("_one.*"))
