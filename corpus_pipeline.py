@@ -8,7 +8,6 @@ times (so they end with the mix); repeated rows count once after near-duplicates
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.llm import common, decontamination, mixing, near_dedup, queries, token_output, toxicity
 
@@ -29,11 +28,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: up to three times, or not at all."""
-    taken = common.stage(mixing.mix(docs).where("taken > 0").select("k", (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct(), "mixed")
-    own = common.row_key("doc_id", "text")
-    times = docs.join(taken, own == taken["k"])
-    return times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    """Every document as often as the mix takes it: up to three times, or not at all; texts without a word never."""
+    return mixing.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order. A stage's tables go when what it returns is written, and its input when it was read."""
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name)
+        with common.scratch(spark):
+            before, docs = own, common.kept(common.stage(stage(spark, docs, sf_dir), name))
+        own = docs
+        if before is not None:
+            common.unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
