@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 #: Rows and bytes that a side may hold to be broadcast; more take a shuffled join instead.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 
+#: Rows of a key from which it counts as hot, and isn't left to one task of a shuffled join.
+HOT_ROWS = 100_000
+
 _own_dir: list[str] = []
 #: Paths staged in each open scratch(), the innermost last.
 _open: list[dict[str, str | None]] = []
@@ -125,10 +128,27 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return F.broadcast(df) if fits_broadcast(df, rows, size) else df
 
 
+def keyed_join(left: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """left with the columns of side, which has one row a key; null where it has none.
+
+    side is broadcast if it fits; else rows without a key go by, hot keys meet their rows of side as a broadcast (there
+    are at most rows / HOT_ROWS of them), and the others meet by a shuffle."""
+    if fits_broadcast(side):
+        return left.join(F.broadcast(side), key, "left")
+    columns = [*left.columns, *(c for c in side.columns if c != key)]
+    hot = stage(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(key), "hot")
+    none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields if f.name != key])
+    rest = left.where(F.col(key).isNotNull())
+    few = rest.join(bounded_broadcast(hot), key, "left_anti").join(side, key, "left")
+    many = rest.join(bounded_broadcast(hot), key, "left_semi").join(bounded_broadcast(side.join(bounded_broadcast(hot), key, "left_semi")), key, "left")
+    return few.select(columns).union(many.select(columns)).union(none.select(columns))
+
+
 def row_key(*cols: str) -> Column:
-    """16 bytes for a row's own columns; nulls and empty strings differ."""
-    parts = [x for c in cols for x in (F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\x1f"))]
-    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+    """16 bytes for a row's own columns (two seeded 64-bit hashes); nulls and empty strings differ."""
+    parts = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(*halves))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
