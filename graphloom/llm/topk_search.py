@@ -1,112 +1,183 @@
 """Exact top-k search by multi-resolution segment statistics, coarse to fine.
 
-Vectors are cut into 1, 2, 4, 8 and 16 segments, each with its mean and standard deviation. For a segment of length l
-the squared distance of two vectors is at least l * ((difference of means)**2 + (difference of deviations)**2), so each
-level bounds every distance from below, and the inner product (|a|**2 + |b|**2 - distance**2) / 2 from above. A query
-block meets a block of candidates; exact scores of the candidates with the best coarse bounds set a threshold, each finer level
-drops candidates whose bound lies under the query's threshold, and survivors are scored exactly in integers. A bound
-equal to the threshold survives, and bounds are widened by more than their rounding, so the answer is exact, ties too.
-
-Queries and candidates are dealt to blocks by hash; every pair of blocks is one task's group of bounded size, which
-gives the block's k best a query, and a window keeps the k best of all blocks.
+Vectors are cut into 1, 2, 4, 8 and 16 segments, each with its mean and standard deviation. Scaled by the root of the
+segment's length l, they bound the inner product from above: sum of l * (mean * mean + deviation * deviation), which is
+(|a|**2 + |b|**2 - lower bound of the squared distance) / 2. So the bounds of all pairs of two blocks are one matrix
+product a level, of 2 to 32 columns.
+
+1. Rows are dealt to blocks by the signs of their segments' sums, as many bits as the table needs blocks, and within a
+   sign pattern by hash, so a hot one is many blocks of bounded size.
+2. Each query block meets one candidate block of its own pattern; the k-th best score so far is the query's threshold.
+3. Every block has the envelope of its rows' statistics (4 segments). Pairs of blocks whose envelopes bound all scores
+   below the least threshold are dropped whole. In the others each finer level drops the candidates whose bounds lie
+   below the thresholds of all queries of a tile, and survivors are scored exactly, as a matrix product of integers
+   where that is exact in floating point, else in wider integers.
+A bound equal to the threshold survives, and bounds are widened by more than their rounding, so the answer is exact,
+ties too. Every pair of blocks is one group of bounded size; a window keeps the k best of a query's blocks.
 
 Defined results: null vectors, and those with null or non-finite components, take no part, nor do rows with a null id;
 vectors are only compared with those of their length; all rows of a query's own id are left out of its candidates;
-repeated rows are candidates each, and a query repeated is answered once; an empty vector scores 0.
+repeated rows are candidates each, but one query; an id with different vectors has a ranking for each of them under
+the one query_id; an empty vector scores 0. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded_broadcast, kept, scratch, stage
 
 #: Rows of a block; a pair of blocks is held in memory at once.
-QUERY_BLOCK, ROW_BLOCK = 2_000, 16_000
+QUERY_BLOCK, ROW_BLOCK = 2_000, 8_000
+#: Queries whose bounds are held at once.
+TILE = 256
 LEVELS = (1, 2, 4, 8, 16)
+#: Segments of a block's envelope.
+_COARSE = 4
 
 
-def segment_statistics(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means and deviations of a level's segments, each scaled by the root of the segment's length; the lengths."""
+def segment_statistics(x: np.ndarray, parts: int) -> np.ndarray:
+    """Means and deviations of a level's segments, each scaled by the root of the segment's length."""
     edges = np.unique(np.linspace(0, x.shape[1], parts + 1).astype(int))
     lengths = np.diff(edges)
     means = np.add.reduceat(x, edges[:-1], axis=1) / lengths
     squares = np.add.reduceat(x * x, edges[:-1], axis=1) / lengths
-    root = np.sqrt(lengths)
-    return means * root, np.sqrt(np.maximum(squares - means * means, 0)) * root, lengths
+    return np.concatenate([means, np.sqrt(np.maximum(squares - means * means, 0))], 1) * np.tile(np.sqrt(lengths), 2)
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of row pairs, or of one query with rows."""
-    return np.einsum("...j,...j->...", q, c)
+def _products(q: np.ndarray, c: np.ndarray, top: float) -> np.ndarray:
+    """Exact inner products of all pairs of integral rows; top bounds their size."""
+    if top < 2**53:
+        return q @ c.T
+    if top < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = [np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c)]
+    return whole[0] @ whole[1].T
 
 
-def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best in the block, ties to smaller ids."""
+def block_best(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, candidate id, score) of each query's k best in the block that are no less than its `least`."""
     top = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(c).max(initial=0)), 1.0) * max(q.shape[1], 1)
-    whole = (q.astype(np.int64), c.astype(np.int64)) if top < 2**62 else (np.array(q.astype(object)), np.array(c.astype(object)))
-    if top >= 2**62:  # too large for 64 bits: no pruning in floating point
-        whole = tuple(np.vectorize(int, otypes=[object])(m) if m.size else m for m in whole)
+    parts = [p for p in LEVELS if p <= q.shape[1]] if top < 2**53 else []
+    levels = [(segment_statistics(q, p), segment_statistics(c, p)) for p in parts]
+    norms = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1)).max(initial=0)
     out: tuple[list, list, list] = ([], [], [])
-    if q.shape[1] == 0:
-        levels = []
-    else:
-        levels = [(segment_statistics(q, p), segment_statistics(c, p)) for p in LEVELS if p <= q.shape[1]]
-    norms_q, norms_c = (q * q).sum(1), (c * c).sum(1)
-    slack = 1e-9 * (norms_q.max(initial=0) + norms_c.max(initial=0)) + 1e-6
-    for i in range(len(q)):
-        rows = np.flatnonzero(c_ids != q_ids[i])
-        if top < 2**62 and levels and len(rows) > 4 * k:
-            bound = None
-            for n, ((qm, qd, _), (cm, cd, _)) in enumerate(levels):
-                far = ((cm[rows] - qm[i]) ** 2).sum(1) + ((cd[rows] - qd[i]) ** 2).sum(1)
-                bound = (norms_q[i] + norms_c[rows] - far) / 2 + slack
-                if n in (0, len(levels) // 2):  # a threshold from the most promising candidates
-                    tried = rows[np.argpartition(-bound, 2 * k)[: 2 * k]] if len(rows) > 2 * k else rows
-                    found = np.sort(_exact(whole[0][i], whole[1][tried]))[::-1]
-                    least = max(least, found[min(k, len(found)) - 1]) if n else found[min(k, len(found)) - 1]
-                rows = rows[bound >= least]
-                if len(rows) <= 2 * k:
-                    break
-        scores = _exact(whole[0][i], whole[1][rows]) if q.shape[1] else np.zeros(len(rows), np.int64)
-        if len(rows) > k:
-            cut = np.sort(scores)[::-1][k - 1]
-            near = scores >= cut
-            rows, scores = rows[near], scores[near]
-        order = np.lexsort((c_ids[rows], -scores))[:k] if scores.dtype != object else sorted(range(len(rows)), key=lambda j: (-scores[j], c_ids[rows[j]]))[:k]
-        rows, scores = rows[order], scores[order]
-        out[0].append(np.full(len(rows), q_ids[i]))
-        out[1].append(c_ids[rows])
-        out[2].append(scores)
+    for first in range(0, len(q), TILE):
+        tile = slice(first, first + TILE)
+        floor = (least[tile] - 1e-9 * norms[0][tile] * norms[1] - 1e-6)[:, None]
+        alive = np.arange(len(c))
+        for own, theirs in levels:
+            if not len(alive) or not np.isfinite(floor).all():
+                break
+            alive = alive[(own[tile] @ theirs[alive].T >= floor).any(0)]
+        scores = _products(q[tile], c[alive], top)
+        other = q_ids[tile][:, None] != c_ids[alive][None, :]
+        if top < 2**53:
+            ranked = np.where(other, scores, -np.inf)
+            cut = least[tile]
+            if len(alive) > k:
+                cut = np.maximum(cut, np.partition(ranked, len(alive) - k, axis=1)[:, len(alive) - k])
+            at, column = np.nonzero(other & (ranked >= cut[:, None]))
+            value = scores[at, column].astype(np.int64)
+        else:
+            at, column = np.nonzero(other)
+            value = scores[at, column]
+        ids = c_ids[alive][column]
+        order = np.lexsort((ids, -value, at)) if value.dtype != object else np.array(sorted(range(len(at)), key=lambda j: (at[j], -value[j], ids[j])), np.int64)
+        at, value, ids = at[order], value[order], ids[order]
+        begin = np.searchsorted(at, np.arange(len(q_ids[tile])))
+        keep = np.arange(len(at)) - begin[at] < k
+        out[0].append(at[keep] + first)
+        out[1].append(ids[keep])
+        out[2].append(value[keep])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, every: int = 20) -> DataFrame:
+def _segments(v: Column, dim: Column, parts: int) -> list[tuple[Column, Column]]:
+    """Sum and length of each of the segments of a level."""
+    out = []
+    for i in range(parts):
+        begin, end = F.floor(dim * i / parts).cast("int"), F.floor(dim * (i + 1) / parts).cast("int")
+        out.append((F.slice(v, begin + 1, end - begin), end - begin))
+    return out
+
+
+def _total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+
+def _statistics(v: Column, dim: Column) -> list[Column]:
+    """The coarse level's scaled means and deviations; 0 for segments without components."""
+    means, spread = [], []
+    for part, n in _segments(v, dim, _COARSE):
+        mean = _total(part) / F.greatest(n, F.lit(1))
+        squares = _total(F.transform(part, lambda x: x * x)) / F.greatest(n, F.lit(1))
+        means.append(F.when(n > 0, mean * F.sqrt(n)).otherwise(0.0))
+        spread.append(F.when(n > 0, F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0))) * F.sqrt(n)).otherwise(0.0))
+    return [*means, *spread]
+
+
+def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """rows with the block that each belongs to: its length and pattern, and a part by hash of `size` rows, about."""
+    many = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", "v"), F.col("parts"))
+    return rows.join(bounded_broadcast(many), ["dim", "cell"]).withColumn(name, F.concat_ws(":", "dim", "cell", part)).drop("parts")
+
+
+def _envelopes(rows: DataFrame, block: str, prefix: str, more: list[Column]) -> DataFrame:
+    stats = [f"s{i}" for i in range(2 * _COARSE)]
+    each = [f(s).alias(f"{prefix}{n}_{s}") for s in stats for n, f in (("lo", F.min), ("hi", F.max))]
+    return rows.groupBy("dim", "cell", block).agg(*each, *more)
+
+
+def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, every: int = 20, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for ids divisible by `every`, the k largest inner products of floor(scale * x)."""
+    with scratch(vectors.sparkSession):
+        return kept(stage(_top_k(vectors, k, id_col, vector_col, scale, every, query_block, row_block), "top"))
+
+
+def _top_k(vectors: DataFrame, k: int, id_col: str, vector_col: str, scale: int, every: int, query_block: int, row_block: int) -> DataFrame:
     x = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     base = vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v"))
-    base = base.withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("id", "v"))
-    base = stage(base, "vectors")
-    queries = stage(base.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]), "queries")
-    n_q, n_c = (-(-t.count() // b) or 1 for t, b in ((queries, QUERY_BLOCK), (base, ROW_BLOCK)))
-    deal = lambda n: F.pmod("h", F.lit(n)).cast("int")
-    q = queries.withColumn("qb", deal(n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    c = base.withColumn("cb", deal(n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    bits = min(12, max(0, (-(-vectors.count() // row_block) - 1).bit_length()))
+    v, dim = F.col("v"), F.col("dim")
+    signs = [F.when(_total(part) > 0, 1 << i).otherwise(0) for i, (part, _) in enumerate(_segments(v, dim, bits))]
+    base = base.withColumn("dim", F.size("v")).withColumn("cell", sum(signs, F.lit(0)))
+    rows = stage(_dealt(base.select("*", *[c.alias(f"s{i}") for i, c in enumerate(_statistics(v, dim))]), row_block, "cb"), "vectors")
+    queries = rows.drop("cb").where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"])
+    queries = stage(_dealt(queries, query_block, "qb").withColumn("q", F.monotonically_increasing_id()), "queries")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        rows = [np.stack(t["v"].to_numpy()).astype(float).reshape(len(t), -1) for t in (left, right)]
-        got = block_best(left["id"].to_numpy(), rows[0], right["id"].to_numpy(), rows[1], k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
-
-    keys = ["dim", "qb", "cb"]
-    best = q.select(*keys, "id", "v").groupBy(*keys).cogroup(c.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+        a, b = [np.stack(t["v"].to_numpy()).astype(float).reshape(len(t), -1) for t in (left, right)]
+        ids = left["id"].to_numpy()
+        at, found, score = block_best(ids, a, left["least"].fillna(-np.inf).to_numpy(float), right["id"].to_numpy(), b, k)
+        return pd.DataFrame({"q": left["q"].to_numpy()[at], "query_id": ids[at], "vec_id": found, "score": score})
+
+    def scored(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The best of each pair of blocks (qb, cb). asked: queries with their thresholds (least)."""
+        pairs = bounded_broadcast(pairs.select("qb", "cb"))
+        left = asked.select("qb", "q", "id", "v", "least").join(pairs, "qb").groupBy("qb", "cb")
+        right = rows.select("cb", "id", "v").join(pairs, "cb").groupBy("qb", "cb")
+        return left.cogroup(right).applyInPandas(meet, "q bigint, query_id bigint, vec_id bigint, score bigint")
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    own = rows.groupBy("dim", "cell").agg(F.min("cb").alias("cb"))
+    first = stage(queries.select("dim", "cell", "qb").distinct().join(own, ["dim", "cell"]).select("qb", "cb"), "first")
+    near = stage(scored(queries.withColumn("least", F.lit(None).cast("double")), first), "near")
+    reached = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", F.col("score").cast("double").alias("least"))
+    asked = stage(queries.join(reached, "q", "left"), "asked")
+
+    open_ = F.min(F.coalesce("least", F.lit(float("-inf")))).alias("least")
+    blocks = _envelopes(asked, "qb", "q", [open_]).drop("cell").join(_envelopes(rows, "cb", "c", []).drop("cell"), "dim")
+    most = sum((F.greatest(*[F.col(f"q{n}_s{i}") * F.col(f"c{m}_s{i}") for n in ("lo", "hi") for m in ("lo", "hi")]) for i in range(2 * _COARSE)), F.lit(0.0))
+    rest = blocks.where(most + F.abs(most) * 1e-6 + 1.0 >= F.col("least")).select("qb", "cb").join(first, ["qb", "cb"], "left_anti")
+    best = near.union(scored(asked, stage(rest, "rest")))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
