@@ -58,12 +58,13 @@ class EliasFano:
             out |= self.low[at, i].astype(np.int64) << (8 * i)
         return out
 
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, found): the first entry >= value, and whether it equals it."""
+    def successor(self, values: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found): the first entry >= value, and whether it equals it. first, last: the places to search in."""
         if not self.n:
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
         high, low = values >> self.low_bits, values & ((1 << self.low_bits) - 1)
         at, end = self.bucket(high)
+        at, end = np.maximum(at, first), end if last is None else np.minimum(end, last)
         last = end.copy()
         open_ = np.flatnonzero(at < last)
         while len(open_):  # a context with many words fills few buckets, so each is halved, not walked
@@ -90,7 +91,9 @@ class EliasFano:
 
 
 def mapped(arrays: list[tuple[object, str]]) -> None:
-    """Move these arrays (object, attribute) to one memory-mapped file, which goes when the arrays do."""
+    """Move these arrays (object, attribute) to one memory-mapped file, which goes when the arrays do.
+
+    The file is a task's scratch in its own temporary folder: no other task reads it, and a lost one builds it anew."""
     handle, path = tempfile.mkstemp(suffix=".trie")
     os.close(handle)
     try:
@@ -112,29 +115,44 @@ def mapped(arrays: list[tuple[object, str]]) -> None:
 class Trie:
     """Contexts, and for each the words that follow with a 16-bit code of log10 of their smoothed probability.
 
-    Level 1: context ids, Elias-Fano. Pointers: where each context's words begin, Elias-Fano. Level 2: word ids
-    relative to their context (context number * 2**WORD_BITS + word id), Elias-Fano, so a word is found by successor
-    search among its context's. Codes: 0 to 65535 over `floor`..0."""
+    Level 1: context ids, Elias-Fano. Pointers: where each context's words begin in level 2, Elias-Fano. Level 2: the
+    words of all contexts, each context's above the last value of the one before (so the whole is monotone),
+    Elias-Fano. A word is found by successor search for its value above its context's base, between the context's two
+    pointers. Codes: 0 to 65535 over `FLOOR`..0."""
 
-    WORD_BITS, FLOOR = 32, -16.0
+    FLOOR = -16.0
 
     def __init__(self, contexts: np.ndarray, words: np.ndarray, log10: np.ndarray):
         """Parallel arrays, sorted by context and word, without repetition."""
         kinds, first = np.unique(contexts, return_index=True)
-        number = np.searchsorted(kinds, contexts)
+        sizes = np.diff(np.append(first, len(words)))
+        tops = words[np.append(first[1:], len(words)) - 1].astype(np.int64) + 1 if len(words) else np.zeros(0, np.int64)
+        bases = np.concatenate([[0], np.cumsum(tops)])[:-1] if len(tops) else np.zeros(0, np.int64)
         self.level1, self.pointers = EliasFano(kinds), EliasFano(np.append(first, len(words)))
-        self.level2 = EliasFano((number.astype(np.int64) << self.WORD_BITS) | words)
+        self.level2 = EliasFano(np.repeat(bases, sizes) + words)
         self.codes = np.rint(np.clip(log10 / self.FLOOR, 0, 1) * 65535).astype(np.uint16)
         mapped([(e, p) for e in (self.level1, self.pointers, self.level2) for p in e.parts()] + [(self, "codes")])
 
+    def _range(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts by place: first and last pointer, and the base of their words' values."""
+        begin, end = self.pointers.get(place), self.pointers.get(place + 1)
+        before = self.level2.get(np.maximum(begin - 1, 0)) + 1
+        return begin, end, np.where(begin > 0, before, 0)
+
     def log10(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """log10 probability of each word in its context; 0 exactly 1.0 can't be told from it, so NaN where unknown."""
+        """log10 probability of each word in its context; NaN where the context doesn't have the word."""
         out = np.full(len(contexts), np.nan)
-        place, known = self.level1.successor(contexts)
-        ask = np.flatnonzero(known)
+        kinds, at = np.unique(contexts, return_inverse=True)
+        place, known = self.level1.successor(kinds)
+        own = np.flatnonzero(known)
+        begin, end, base = (np.zeros(len(kinds), np.int64) for _ in range(3))
+        if len(own):
+            begin[own], end[own], base[own] = self._range(place[own])
+        ask = np.flatnonzero(known[at])
         if len(ask):
-            at, found = self.level2.successor((place[ask] << self.WORD_BITS) | words[ask])
-            out[ask[found]] = self.codes[at[found]] * (self.FLOOR / 65535)
+            k = at[ask]
+            where, found = self.level2.successor(base[k] + words[ask], begin[k], end[k])
+            out[ask[found]] = self.codes[where[found]] * (self.FLOOR / 65535)
         return out
 
     def followers(self, context: int) -> np.ndarray:
@@ -142,5 +160,5 @@ class Trie:
         place, known = self.level1.successor(np.array([context]))
         if not known[0]:
             return np.zeros(0, np.int64)
-        a, b = self.pointers.get(np.array([place[0], place[0] + 1]))
-        return self.level2.get(np.arange(a, b)) & ((1 << self.WORD_BITS) - 1)
+        begin, end, base = self._range(place[:1])
+        return self.level2.get(np.arange(begin[0], end[0])) - base[0]

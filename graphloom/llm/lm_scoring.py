@@ -5,13 +5,18 @@ p(w | v) = (c(v, w) + MU * p1(w)) / (c(v) + MU) with p1(w) = (c(w) + 0.1) / (N +
 V known words and one unknown. In the tries log10 p is quantised to 16 bits (steps of 0.00025).
 
 The corpus is read in blocks (some MB of texts), each with a vocabulary of its own, and only two tables are shuffled,
-both as packed bytes: each block's distinct words, and its distinct bigrams. A shard (by hash of the word, or of the
-bigram with hot contexts salted) adds up the counts of all blocks, builds its trie, and answers every block's lookups
-by successor search. A hot word or pair is one entry a block, however often it occurs; shards grow in number with the
-corpus, so no task holds more than a share, and the vocabulary is never on the driver.
+both as packed bytes: each block's distinct words, and its distinct bigrams. A shard of words (by hash) adds up the
+counts of all blocks and numbers its words, so that all words of the corpus are numbered without gaps; a shard of
+bigrams (by context, hot contexts salted) adds up the counts, builds its trie over the numbers, and answers every
+block's lookups by successor search. A hot word or pair is one entry a block, however often it occurs; a block asks only
+shards that it has words of; shards and buckets of blocks grow in number with the corpus, so no task holds more than a
+share, and the vocabulary is never on the driver.
+
+Order 2: contexts are single words, and what is seen of longer ones isn't used.
 
 Defined results: null and empty texts are one end token; a null id counts as an empty text in the split; repeated
-rows count each; an empty table gives an empty one, and without any training row all counts are 0.
+rows count each; an empty table gives an empty one, and without any training row all counts are 0. Two words are told
+apart by 64 bits of a hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices, stage, stage_by, text_bytes
+from .common import bounded_broadcast, kept, scratch, slices, stage, stage_by, text_bytes
 from .elias_fano import Trie
 
 MU = 100.0
 BLOCK_BYTES = 12 << 20
+#: Blocks of text that a task holds at once, about.
+BUCKET_BLOCKS = 8
 #: Tokens for each shard, about.
 SHARD_TOKENS = 1_500_000
 #: A context is dealt to several shards if its share of the tokens is over 1 / (SPLIT * shards).
@@ -103,9 +110,10 @@ def word_requests(shards: int):
             for block, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 hashes, _, own = _words_of(words, counts)
                 shard = (hashes >> np.uint64(32)).astype(np.int64) * shards >> 32
-                edges = np.searchsorted(shard, np.arange(shards + 1))
-                data = [(a := pack(hashes[lo:hi]), len(a).to_bytes(8, "little") + a + pack(_u(own[lo:hi])))[1] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards)), pa.array(np.full(shards, block)), pa.array(data, pa.binary())], names=["shard", "block", "data"])
+                asked, first = np.unique(shard, return_index=True)
+                ends = np.append(first[1:], len(shard))
+                data = [_join([hashes[lo:hi], own[lo:hi]]) for lo, hi in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.full(len(asked), block)), pa.array(data, pa.binary())], names=["shard", "block", "data"])
 
     return run
 
@@ -125,15 +133,16 @@ def _join(arrays: list[np.ndarray]) -> bytes:
 
 
 def count_words(table: pa.Table) -> pa.Table:
-    """applyInArrow of a shard: adds the blocks' counts; answers each block with its words' counts in the corpus."""
+    """applyInArrow of a shard: adds the blocks' counts; answers each block with its words' counts in the corpus and
+    their numbers within the shard (as steps, for they rise). size, n, v: of the shard, in its first row."""
     blocks = table["block"].to_numpy()
     got = [_split(d, 2) for d in table["data"].to_pylist()]
     kinds, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     total = np.bincount(at, np.concatenate([g[1] for g in got]).astype(float), len(kinds)).astype(np.int64)
     ends = np.cumsum([len(g[0]) for g in got])[:-1]
-    answers = [pack(_u(total[part])) for part in np.split(at, ends)]
+    answers = [_join([total[part], np.diff(part, prepend=0)]) for part in np.split(at, ends)]
     first = np.arange(len(blocks)) == 0
-    return pa.table({"shard": table["shard"], "block": table["block"], "data": pa.array(answers, pa.binary()), "n": pa.array(np.where(first, total.sum(), 0)), "v": pa.array(np.where(first, (total > 0).sum(), 0))})
+    return pa.table({"shard": table["shard"], "block": table["block"], "data": pa.array(answers, pa.binary()), "size": pa.array(np.where(first, len(kinds), 0)), "n": pa.array(np.where(first, total.sum(), 0)), "v": pa.array(np.where(first, (total > 0).sum(), 0))})
 
 
 def _bigrams(ranks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +153,13 @@ def _bigrams(ranks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.unique(pairs, return_inverse=True)
 
 
-def _corpus_counts(answers: pa.Table, n_words: int) -> np.ndarray:
+def _corpus_counts(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in the corpus, and numbers, of a block's words in order of their hashes."""
     order = np.argsort(answers["shard"].to_numpy())
-    data = answers["data"].to_pylist()
-    return np.concatenate([unpack(data[i]) for i in order]).astype(np.int64) if n_words else np.zeros(0, np.int64)
+    data, offset = answers["data"].to_pylist(), answers["first"].to_numpy()
+    got = [(_split(data[i], 2), offset[i]) for i in order]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate([g[0].astype(np.int64) for g, _ in got] or none), np.concatenate([np.cumsum(g[1].astype(np.int64)) + o for g, o in got] or none)
 
 
 def _base(c: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -157,16 +169,17 @@ def _base(c: np.ndarray, n: int, v: int) -> np.ndarray:
 def score_words(n: int, v: int, shards: int):
     """Cogrouped applyInArrow of a block and its word counts: each text's counts and base score, and bigram requests.
 
-    Rows (shard, block, data): requests, and with a negative shard, the block's counts by word number, base scores and
-    known tokens, which pass the shards unchanged."""
+    Rows (shard, block, data): requests, and with a negative shard, the counts and numbers of the block's words, base
+    scores and known tokens, which pass the shards unchanged."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in left.to_pylist():
-            hashes, rank, own = _words_of(r["words"], r["counts"])
+            _, rank, own = _words_of(r["words"], r["counts"])
             c = np.zeros(len(rank), np.int64)
             h = np.zeros(len(rank), np.uint64)
-            c[rank], h[rank] = _corpus_counts(right, len(rank)), hashes
+            c[rank], number = _corpus_counts(right)
+            h[rank] = _u(number)
             ranks, ends = unpack(r["tokens"]).astype(np.int64), np.array(r["ends"], np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             scores, known = np.add.reduceat(_base(c, n, v)[ranks], starts), np.add.reduceat((c > 0)[ranks].astype(np.int64), starts)
@@ -180,7 +193,7 @@ def score_words(n: int, v: int, shards: int):
             for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if hi > lo:
                     out.append((s, r["block"], _request(order[lo:hi], context, word, h, c, often)))
-            own = _join([c, np.ascontiguousarray(scores).view(np.uint64), known])
+            own = _join([c, h, np.ascontiguousarray(scores).view(np.uint64), known])
             out.append((-1 - r["block"] % shards, r["block"], own))
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({"shard": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
@@ -196,11 +209,11 @@ def _shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, sha
 
 
 def _request(rows: np.ndarray, context: np.ndarray, word: np.ndarray, h: np.ndarray, c: np.ndarray, often: np.ndarray) -> bytes:
-    """Contexts with how many words each has and its count; words (32 bits of the hash), their counts, the bigrams'."""
+    """Contexts with how many words each has and its count; words, their counts, the bigrams'. All by number."""
     v = context[rows]
     first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     sizes = np.diff(np.append(first, len(v)))
-    return _join([h[v[first]] >> np.uint64(4), sizes, c[v[first]], h[word[rows]] >> np.uint64(32), c[word[rows]], often[rows]])
+    return _join([np.diff(h[v[first]], prepend=np.uint64(0)), sizes, c[v[first]], h[word[rows]], c[word[rows]], often[rows]])
 
 
 def answer_bigrams(n: int, v: int):
@@ -210,7 +223,7 @@ def answer_bigrams(n: int, v: int):
         if table["shard"][0].as_py() < 0:
             return table
         got = [_split(d, 6) for d in table["data"].to_pylist()]
-        contexts = [np.repeat(g[0], g[1].astype(np.int64)).astype(np.int64) for g in got]
+        contexts = [np.repeat(np.cumsum(g[0]), g[1].astype(np.int64)).astype(np.int64) for g in got]
         words = [g[3].astype(np.int64) for g in got]
         of_context = [np.repeat(g[2], g[1].astype(np.int64)).astype(np.int64) for g in got]
         cs, ws, cc, cw, often = (np.concatenate(x) for x in (contexts, words, of_context, [g[4].astype(np.int64) for g in got], [g[5].astype(np.int64) for g in got]))
@@ -239,8 +252,8 @@ def finish(n: int, v: int, shards: int):
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for r in left.to_pylist():
             data = dict(zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True))
-            c, scores, known = _split(next(d for s, d in data.items() if s < 0), 3)
-            c, scores, h = c.astype(np.int64), scores.view(np.float64), unpack(r["words"])
+            c, h, scores, known = _split(next(d for s, d in data.items() if s < 0), 4)
+            c, scores = c.astype(np.int64), scores.view(np.float64)
             ranks, ends = unpack(r["tokens"]).astype(np.int64), np.array(r["ends"], np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             pairs, at = _bigrams(ranks, ends)
@@ -270,17 +283,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
     Rows whose crc32 of the id as text is divisible by `folds` are held out: scored, not learned from."""
+    with scratch(docs.sparkSession):
+        return kept(stage(_scored(docs, id_col, text_col, folds), "scores"))
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.pmod(F.crc32(key), F.lit(folds)) == 0).alias("held"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stage_by(base.mapInArrow(read_blocks, _BLOCK), "blocks", "block", parts)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = stage_by(base.mapInArrow(read_blocks, _BLOCK), "blocks", "block", max(parts, -(-size // (BUCKET_BLOCKS * BLOCK_BYTES))))
     total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     shards = max(2 * parts, -(-total // SHARD_TOKENS))
     packed = "shard bigint, block bigint, data binary"
     asked = blocks.select("block", "words", "counts").mapInArrow(word_requests(shards), packed)
-    counts = stage(asked.groupBy("shard").applyInArrow(count_words, f"{packed}, n bigint, v bigint"), "word-counts")
+    counts = stage(asked.groupBy("shard").applyInArrow(count_words, f"{packed}, size bigint, n bigint, v bigint"), "word-counts")
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.sum("v")).first())
-    met = blocks.groupBy("block").cogroup(counts.select("shard", "block", "data").groupBy("block")).applyInArrow(score_words(n, v, shards), packed)
+    sizes = counts.groupBy("shard").agg(F.sum("size").alias("size"))
+    first = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("first"))  # a row a shard
+    numbered = counts.select("shard", "block", "data").join(bounded_broadcast(stage(first, "firsts")), "shard")
+    met = blocks.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(score_words(n, v, shards), packed)
     answers = met.groupBy("shard").applyInArrow(answer_bigrams(n, v), packed)
     kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish(n, v, shards), kinds)
