@@ -9,10 +9,10 @@
    Enumerating the four masks of each chunk gives 48 keys, and equal keys retrieve every pair within 23.
    A pair at similarity 0.85 is beyond 23 with a probability near 1e-8, at 0.8 near 3e-6.
 3. Links are confirmed by exact intersection of the full sets. Buckets of at most SMALL classes give all their pairs,
-   which the signature distance filters. Larger ones give a star first: each class with the bucket's least. Each
-   class's nearest of these is confirmed and links are contracted; then the other small pairs that still join two
-   components, one for each two first. Of the large buckets that still have several components, a star between
-   components follows, and the last round orders the shingles of their classes by how few classes hold them. Two sets
+   which the signature distance filters and the full sets confirm. Larger ones give a star first: each class's nearest
+   among its buckets' least classes. Links are contracted; of the large buckets that still have several components, a
+   star between components follows, about the class with most links, and the last round orders the shingles of their
+   classes by how few classes hold them. Two sets
    that are similar enough share one of their rarest shingles (prefix and position bounds). An outside class meets a
    whole star by what its centre holds, and is held against the centre; only members that the two intersections with
    the centre don't rule out are paired with it. Shingles that a member holds besides its centre pair it directly. All
@@ -158,14 +158,14 @@ def _ranked(sets: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb, score) of different components that may reach the similarity: every pair that does is there.
+    """(a, b) of different components that may reach the similarity: every pair that does is there.
 
     Two such sets have an intersection of at least percent * (n_a + n_b) / (100 + percent), so their first common
     shingle is among the first n - ceil(n * percent / 100) + 1 of each, and what follows its places bounds the
     intersection. Let a belong to the smaller star. If that shingle isn't in the centre of b's star, the two meet by it.
     If it is, a meets the star, once for all its members, and is held against the centre: the intersection with b is at
     most what both have in common with the centre, and what b holds besides that any other set holds too. Only members
-    for which that suffices are paired. score: a guess of the intersection."""
+    for which that suffices are paired."""
     prefix = rows.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     x = prefix.select("item", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "i", "comp", "g", "c")))
     other = (F.col("xcomp") != F.col("comp")) & ((F.col("xc") < F.col("c")) | ((F.col("xc") == F.col("c")) & (F.col("xg") < F.col("g"))))
@@ -173,9 +173,9 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def enough(shared, n):
         return shared * (100 + percent) >= (F.col("xn") + n) * percent
 
-    pair = [F.col("xnode").alias("a"), F.col("node").alias("b"), F.least("xcomp", "comp").alias("ca"), F.greatest("xcomp", "comp").alias("cb")]
+    pair = [F.col("xnode").alias("a"), F.col("node").alias("b")]
     left = F.least(F.col("xn") - F.col("xi"), F.col("n") - F.col("i")) + 1
-    beside = x.join(prefix.where("not core"), "item").where(other & enough(left, F.col("n"))).groupBy(*pair).agg(F.count("*").cast("int").alias("score"))
+    beside = x.join(prefix.where("not core"), "item").where(other & enough(left, F.col("n"))).select(*pair).distinct()
 
     stars = prefix.where("core").groupBy("item", "comp", "g", "c").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("i")).alias("after"))
     left = F.least(F.col("xn") - F.col("xi"), F.col("after")) + 1
@@ -186,8 +186,8 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     inside = F.when(F.col("g") == F.col("node"), F.col("n")).otherwise(F.count_if("core"))
     members = rows.groupBy("g", "node", "n").agg(inside.cast("int").alias("in"), F.count_if(~F.col("core")).cast("int").alias("out"))
     most = F.least("xin", "in") + F.least(F.col("out"), F.col("xn") - F.col("xin"))
-    through = held.join(members, "g").where(enough(most, F.col("n"))).select(*pair, F.least("xin", "in").alias("score"))
-    return beside.union(through).groupBy("a", "b", "ca", "cb").agg(F.max("score").alias("score"))
+    through = held.join(members, "g").where(enough(most, F.col("n"))).select(*pair)
+    return beside.union(through).distinct()
 
 
 def _texts_sets(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -244,46 +244,24 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
 
     few = members.where(F.col("c") <= SMALL).select("key", "node")
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    pairs = stage(near(pairs), "pairs")
     spokes = near(members.where((F.col("c") > SMALL) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct())
-    both = pairs.union(pairs.select("b", "a", "d")).union(spokes.select("a", "b", "d"))
-    nearest = stage(both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("t")).select("a", "t.b"), "nearest")
+    spokes = spokes.groupBy("a").agg(F.min(F.struct("d", "b")).alias("t")).select("a", "t.b")
+    tried = stage(near(pairs).select("a", "b").union(spokes).distinct(), "pairs")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Whole sets of these classes, each from one document."""
         wanted = stage(nodes.distinct().join(classes.select("node", "k"), "node").select("k", "node"), "wanted")
         return stage(_texts_sets(base, wanted, size).select("node", "items").dropDuplicates(["node"]), "sets")
 
-    links = labels = None
+    sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
+    links = stage(_confirmed(tried, sets, percent), "links")
+    labels = stage(components(links, "a", "b"), "labels")
 
-    def contract(pairs: DataFrame, sets: DataFrame) -> bool:
-        """Confirm the pairs and contract their links; False if there are none."""
+    def contract(pairs: DataFrame, sets: DataFrame) -> None:
+        """Confirm the pairs and contract their links."""
         nonlocal links, labels
-        more = stage(_confirmed(pairs, sets, percent), "links")
-        if links is not None and not more.take(1):
-            return False
-        links = more if links is None else links.union(more)
+        links = links.union(stage(_confirmed(pairs, sets, percent), "links"))
         labels = stage(components(links, "a", "b"), "labels")
-        return True
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ..) of different components by now, with these as ca < cb."""
-        ends = [labels.select(F.col("node").alias(m), F.col("component").alias(f"c{m}")) for m in "ab"]
-        met = pairs.drop("ca", "cb").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        met = met.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca != cb")
-        return met.withColumn("low", F.least("ca", "cb")).withColumn("cb", F.greatest("ca", "cb")).withColumn("ca", F.col("low")).drop("low")
-
-    def settle(found: DataFrame, best: Column, sets: DataFrame) -> None:
-        """All pairs of different components: first the best of each two, then what is left."""
-        if contract(found.groupBy("ca", "cb").agg(F.min(F.struct(best.alias("rank"), "a", "b")).alias("t")).select("t.a", "t.b"), sets):
-            contract(stage(apart(found).select("a", "b"), "rest"), sets)
-        else:
-            contract(found, sets)
-
-    contract(nearest, sets_of(nearest.select(F.explode(F.array("a", "b")).alias("node"))))
-    found = stage(apart(pairs), "cross")
-    if found.take(1):
-        settle(found, F.col("d"), sets_of(found.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def still_open() -> tuple[DataFrame, DataFrame]:
         """Members of the large buckets with their components, and those of these buckets that have several."""
@@ -298,7 +276,8 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
         return empty, rows, labels
     spokes = at.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(open_, "key").where("ca != cb").select("a", "ca", "b", "cb").distinct()
     found = stage(near(spokes).groupBy("ca", "cb").agg(F.min(F.struct("d", "a", "b")).alias("t")).select("t.a", "t.b"), "cross")
-    if found.take(1) and contract(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("node")))):
+    if found.take(1):
+        contract(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("node"))))
         at, open_ = still_open()
         if not open_.take(1):
             return empty, rows, labels
@@ -307,8 +286,9 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     left = at.join(open_.select("key"), "key").select("node", "comp").distinct()
     stars = stage(_stars(left, links), "stars")
     sets = sets_of(stars.select(F.explode(F.array("node", "g")).alias("node")))
-    found = stage(near(_rare_pairs(_ranked(sets, stars), sets, percent)).select("a", "b", "ca", "cb", "score"), "cross")
-    settle(found, -F.col("score"), sets)
+    found = stage(near(_rare_pairs(_ranked(sets, stars), sets, percent)).select("a", "b"), "cross")
+    if found.take(1):
+        contract(found, sets)
     return empty, rows, labels
 
 
