@@ -74,12 +74,13 @@ def _at_source(rows: DataFrame, source: Column, part: Column, side: DataFrame, h
     return rows.join(salted, source.eqNullSafe(salted["src"]) & (F.pmod(F.xxhash64(part), F.lit(_SALTS)) == salted["_salt"]), how).drop(salted["_salt"])
 
 
-def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality_col: str | None, seed: str) -> dict[str, Column]:
-    """What mixing knows of a document, as columns over docs."""
-    i, text = F.col(id_col), F.col(text_col)
-    k, size = row_key(id_col, text_col), word_count(text)
-    quality = F.col(quality_col).cast("double") if quality_col else lexical_quality(text, size)
-    return {"doc_id": i, "k": k, "source": F.col(source_col), "size": size, "key": sampling_key(seed, F.coalesce(i.cast("string"), F.hex(k)), quality)}
+def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality_col: str | None, seed: str, *own: Column) -> DataFrame:
+    """(own .., doc_id, k, source, size, key): what mixing knows of a document. Words are counted once."""
+    text = F.col("_text")
+    quality = F.col("_quality").cast("double") if quality_col else lexical_quality(text, F.col("size"))
+    named = docs.select(*own, F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("_text"), *([F.col(quality_col).alias("_quality")] if quality_col else []))
+    key = sampling_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.hex("k")), F.col("_q"))
+    return named.withColumn("_q", quality).withColumn("key", key).drop("_q", "_text", "_quality")
 
 
 def _cuts(slim: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
@@ -131,7 +132,7 @@ def _taken(size: Column, key: Column, doc_id: Column, k: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(doc_id, k, source, size, source_size, target, taken) for every document: taken / size is how often it is in the mix."""
     with scratch(docs.sparkSession):
-        slim = kept(stage(docs.select(*[c.alias(n) for n, c in _facts(docs, id_col, text_col, source_col, quality_col, seed).items()]), "sizes"))
+        slim = kept(stage(_facts(docs, id_col, text_col, source_col, quality_col, seed), "sizes"))
         cuts = kept(stage(_cuts(slim, weights, epochs), "cuts"))
     met = _at_source(slim, F.col("source"), F.col("k"), cuts)
     times = _taken(F.col("size"), F.col("key"), F.col("doc_id"), F.col("k"))
@@ -141,9 +142,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: every document with all its columns, as often as the mix takes it; texts of no word aren't taken."""
     with scratch(docs.sparkSession):
-        slim = stage(docs.select(*[c.alias(n) for n, c in _facts(docs, id_col, text_col, source_col, quality_col, seed).items()]), "sizes")
+        slim = stage(_facts(docs, id_col, text_col, source_col, quality_col, seed), "sizes")
         cuts = kept(stage(_cuts(slim, weights, epochs).select(*[F.col(c).alias(c) for c in ("src", "times", "edge", "cut")]), "cuts"))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in _facts(docs, id_col, text_col, source_col, quality_col, seed).items()])
+    own = _facts(docs, id_col, text_col, source_col, quality_col, seed, F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
     met = _at_source(own, F.col("source"), F.col("k"), cuts)
     times = F.when(F.col("size") > 0, _taken(F.col("size"), F.col("key"), F.col("doc_id"), F.col("k"))).otherwise(0).cast("int")
     return met.select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_doc.*")
