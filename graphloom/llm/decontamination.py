@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         items = stage(items.join(weighed, "pid").withColumns(fingerprints(F.col("ws"))).select("pid", "n", "set", "ws", "f", "wf", "words"), "items")
 
         base = keyed(docs, id_col, text_col)
-        found = stage(anchors(base.select("k", word_list(F.col("text")).alias("words")), items.select("pid", "words"), size, similarity, weights), "anchors")
+        found = stage(anchors(base.select("k", "text"), items.select("pid", "words"), size, similarity, weights), "anchors")
         wanted = stage(found.select("k").distinct(), "wanted")
         hit = stage(base.join(bounded_broadcast(wanted), "k").select("k", "doc_id", word_list(F.col("text")).alias("all")), "hit")
         spots = found.select("k", "n", F.greatest("at", F.lit(0)).alias("at")).distinct()

@@ -69,7 +69,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
         known = stage(known.withColumn("n", F.size("words")).withColumn("set", _set(F.col("words"), size)), "templates")
 
         base = keyed(docs, id_col, text_col)
-        found = stage(anchors(base.select("k", word_list(F.col("text")).alias("words")), known.select("pid", "words"), size, containment), "anchors")
+        found = stage(anchors(base.select("k", "text"), known.select("pid", "words"), size, containment), "anchors")
         wanted = stage(found.select("k").distinct(), "wanted")
         hit = stage(base.join(bounded_broadcast(wanted), "k").select("k", "doc_id", word_list(F.col("text")).alias("all")), "hit")
         step = F.greatest(F.lit(1), F.floor(F.col("n") / 8)).cast("int")

@@ -35,7 +35,7 @@ def _places(docs: DataFrame, widths: list[int]) -> DataFrame:
 
 
 def anchors(docs: DataFrame, patterns: DataFrame, size: int, least: float, weights: DataFrame | None = None) -> DataFrame:
-    """Where shingles of the patterns (pid, words) stand in docs (k, words): (k, pid, n, at), for each document and
+    """Where shingles of the patterns (pid, words) stand in docs (k, text): (k, pid, n, at), for each document and
     pattern that may share `least` of the pattern's shingles, or of their weights (h, w); without those, a shingle weighs
     1 / (patterns that hold it).
 
@@ -56,10 +56,12 @@ def anchors(docs: DataFrame, patterns: DataFrame, size: int, least: float, weigh
     ranked = ranked.withColumn("before", F.sum("weight").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")).withColumn("total", F.sum("weight").over(every))
     slack = 1 - least + 1e-9
     rare = stage(ranked.where((F.col("i") <= F.col("all") * slack) | (F.col("before") <= F.col("total") * slack)).select("pid", "w", "h"), "rare")
-    met = _places(docs, sorted(widths)).drop("pos").join(bounded_broadcast(rare), ["w", "h"]).select("k", "pid")
+    met = _places(docs.select("k", word_list(F.col("text")).alias("words")), sorted(widths)).drop("pos").join(bounded_broadcast(rare), ["w", "h"]).select("k", "pid")
     pairs = stage(met.distinct(), "pairs")
+    # texts are cut into words anew, but only those of the pairs: staged first, or Spark would do it before the join
+    few = stage(docs.join(bounded_broadcast(pairs.select("k").distinct()), "k").select("k", "text").dropDuplicates(["k"]), "texts")
+    hit = _places(few.select("k", word_list(F.col("text")).alias("words")), sorted(widths))
     asked = pairs.join(bounded_broadcast(own), "pid")
-    hit = _places(docs.join(bounded_broadcast(pairs.select("k").distinct()), "k"), sorted(widths))
     return asked.join(hit, ["k", "w", "h"]).select("k", "pid", "n", (F.col("pos") - F.col("off")).alias("at")).distinct()
 
 
