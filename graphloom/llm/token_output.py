@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, new_path, slices
 
 END_ID = 2
-#: Pieces that a worker keeps; beyond, its table begins anew.
-KEPT_PIECES = 600_000
+#: Pieces that a worker keeps in each of three tables (beyond, the table begins anew), and the characters of a piece
+#: that is kept: a table holds at most some 100 MB, however long the pieces of the texts are.
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
 #: White space of any definition that isn't plain; next to these no cut is made.
 _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _ODD = "\\s" + _EXOTIC.pattern[1:-1]
@@ -48,13 +49,15 @@ _encoders: dict[str, "PieceEncoder"] = {}
 
 
 class _Pieces(dict):
-    """Ids (bytes) of pieces, got when first asked for; begins anew when it holds KEPT_PIECES."""
+    """Ids (bytes) of pieces, got when first asked for; long ones aren't kept. Begins anew when it holds KEPT_PIECES."""
 
     def __init__(self, learn):
         self.learn = learn
 
     def __missing__(self, piece: str) -> bytes:
         got = self.learn(piece)
+        if len(piece) > KEPT_CHARS:
+            return got
         if len(self) >= KEPT_PIECES:
             self.clear()
         self[piece] = got
