@@ -4,7 +4,8 @@ Every listed canonical URL sets 8 bits in one block of 512 bits (8 words of 64 b
 the OR of its rows by block, built by an aggregation. A page's URL that lacks a bit of its block can't be listed. The
 possible hits go to an exact hash join with the list, which removes false positives. The filter has a block for every
 32 listed URLs (16 bits each; about one false hit in 1500); it is broadcast if that is within a checked bound and
-joined by block otherwise.
+joined by block otherwise, then with each distinct URL once. Hits go back to pages with hot URLs apart, and pages
+without a URL don't take part in joins.
 
 Canonical form: scheme, port, credentials and fragment dropped; host in lower case without final dots and a leading
 mirror label (www., m.); tracking parameters dropped and the rest of the query sorted; final slashes, index pages and
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stage
+from .common import fits_broadcast, keyed_join, kept, scratch, stage
 
 #: (verdict, host, path): the host and its subdomains, paths that start so. The longest host + path wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -83,12 +84,12 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 def listed_hits(pages: DataFrame, url: str, listed: DataFrame) -> DataFrame:
     """The distinct values of pages' canonical URL column that `listed` (column url) holds."""
     listed = stage(listed.where(F.col("url").isNotNull()).select("url").distinct(), "listed")
-    n = listed.count()
-    blocks = max(1, n // _PER_BLOCK)
-    table = bloom(listed, blocks)
-    table = F.broadcast(table) if blocks <= BROADCAST_ROWS else table
+    blocks = max(1, listed.count() // _PER_BLOCK)
+    table = stage(bloom(listed, blocks), "bloom")
     asked = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("u"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks))).join(table, "block")
+    small = fits_broadcast(table)
+    asked = asked if small else asked.distinct()  # so that a page's URL, however often it stands, is one row of the join
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks))).join(F.broadcast(table) if small else table, "block")
     may = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(F.col("u")))])
     possible = asked.where(may).select("u").distinct()
     return possible.join(listed, possible["u"] == listed["url"], "left_semi")
@@ -96,14 +97,13 @@ def listed_hits(pages: DataFrame, url: str, listed: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, mirrors: tuple[str, ...] = MIRRORS) -> DataFrame:
     """(page_id, host, path, canonical_url, rule, listed, verdict) for every page. listed: DataFrame with column url."""
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("raw"))
-    base = base.select("page_id", host(F.col("raw")).alias("host"), path(F.col("raw")).alias("path"), canonical(F.col("raw"), mirrors).alias("canonical_url"))
-    base = stage(base, "urls")
-    known = listed.select(canonical(F.col("url"), mirrors).alias("url"))
-    hits = stage(listed_hits(base, "canonical_url", known), "hits").withColumn("listed", F.lit(True))
-    n = hits.count()
-    side = hits.select(F.col("u").alias("canonical_url"), "listed")
-    met = base.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "canonical_url", "left")
-    met = met.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", F.coalesce("listed", F.lit(False)))
-    own = F.when(F.col("listed"), "block").otherwise("allow")
-    return met.select("page_id", "host", "path", "canonical_url", F.col("fit.rule").alias("rule"), "listed", F.coalesce("fit.verdict", own).alias("verdict"))
+    with scratch(pages.sparkSession):
+        base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("raw"))
+        base = base.select("page_id", host(F.col("raw")).alias("host"), path(F.col("raw")).alias("path"), canonical(F.col("raw"), mirrors).alias("canonical_url"))
+        base = stage(base, "urls")
+        known = listed.select(canonical(F.col("url"), mirrors).alias("url"))
+        hits = stage(listed_hits(base, "canonical_url", known).select(F.col("u").alias("canonical_url"), F.lit(True).alias("listed")), "hits")
+        met = keyed_join(base, hits, "canonical_url")
+        met = met.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", F.coalesce("listed", F.lit(False)))
+        own = F.when(F.col("listed"), "block").otherwise("allow")
+        return kept(stage(met.select("page_id", "host", "path", "canonical_url", F.col("fit.rule").alias("rule"), "listed", F.coalesce("fit.verdict", own).alias("verdict")), "judged"))
