@@ -58,12 +58,27 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
 
 
-def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No list comes with the tables: listed are the canonical URLs that more than one page has."""
-    pages = _table(spark, sf_dir, "pages")
+def repeated_urls(pages: DataFrame) -> DataFrame:
+    """A list for want of one among the tables: the canonical URLs that more than one page has."""
     url = url_filter.canonical(F.col("url"))
-    listed = pages.groupBy(url.alias("c")).agg(F.count("*").alias("n"), F.min("url").alias("url")).where("n > 1 and c is not null").select("url")
-    return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return pages.groupBy(url.alias("c")).agg(F.count("*").alias("n"), F.min("url").alias("url")).where("n > 1 and c is not null").select("url")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
+    """listed: DataFrame with column url; repeated_urls() by default."""
+    pages = _table(spark, sf_dir, "pages")
+    found = url_filter.judge(pages, repeated_urls(pages) if listed is None else listed)
+    return found.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6_secret_scan SQL can express."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9_lm_scoring SQL can express, to six decimals."""
+    return op9_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
+    "secret_scan_base": secret_scan_base,
+    "lm_base_scores": lm_base_scores,
 }
 
 SQL: dict[str, str] = {
@@ -84,4 +101,6 @@ SQL: dict[str, str] = {
     "op4_topk_search": topk_search.SQL,
     "op8_near_dedup": sql.NEAR_DEDUP,
     "op10_url_filter": sql.URL_FILTER,
+    "secret_scan_base": sql.SECRET_BASE,
+    "lm_base_scores": sql.LM_BASE,
 }

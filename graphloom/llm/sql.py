@@ -40,3 +40,29 @@ r AS (
 SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.verdict, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canon IS NOT NULL AS listed
 FROM u LEFT JOIN r ON r.page_id = u.page_id LEFT JOIN l ON l.canon = u.canon
 """
+
+_KINDS = (("assign", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "(AKIA[A-Z0-9]+)", 1, 16), ("hex", "([0-9a-f]+)", 1, 32))
+
+SECRET_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT doc_id, {r} AS r, '{kind}' AS kind, regexp_extract_all(t, '{x}', 0) AS ms, regexp_extract_all(t, '{x}', {g}) AS gs, string_split_regex(t, '{x}') AS ps, {least} AS least FROM d" for r, (kind, x, g, least) in enumerate(_KINDS))}),
+e AS (
+  SELECT doc_id, r, kind, length(ms[i]) AS n, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM m, unnest(range(1, len(ms) + 1)) AS u(i) WHERE length(gs[i]) >= least),
+a AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, r) AS spans, count(*) FILTER (r = 0) AS n0, count(*) FILTER (r = 1) AS n1, count(*) FILTER (r = 2) AS n2 FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+#: held: the documents that are held out, those whose crc32 of the id as text is divisible by ten. DuckDB has no crc32, so it is folded bit by bit.
+LM_BASE = rf"""
+WITH ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS x FROM documents),
+crc AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(x) + 1), lambda i: CAST(ord(substr(x, i, 1)) AS BIGINT))),
+    lambda h, b: list_reduce(list_concat([xor(h, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)), 4294967295::BIGINT) % 10 = 0 AS held FROM ids),
+w AS (SELECT d.doc_id, c.held, list_append({_WORDS}, NULL) AS ws FROM documents d JOIN crc c ON c.doc_id = d.doc_id),
+t AS (SELECT doc_id, held, unnest(ws) AS word FROM w),
+c AS (SELECT coalesce('w' || word, 'end') AS word, count(*) AS c FROM t WHERE NOT held GROUP BY 1),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, t.held AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, n.n AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 6) AS base_score
+FROM t CROSS JOIN n LEFT JOIN c ON c.word = coalesce('w' || t.word, 'end') GROUP BY t.doc_id, t.held, n.n
+"""
