@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, elias_fano, license_scan, lm_scoring, mixing, near_dedup, queries, secret_scan, token_output, topk_search, toxicity, url_filter
 
@@ -259,14 +258,3 @@ def test_urls(spark):
     assert got[0] == ("www.example.org", "/es/1", "example.org/es/", "block") and got[1][2:] == ("com/fr/", "allow")
     assert got[2] == got[3] == ("", "", None, "allow") and got[4] == ("b.net", "/x/index.html", None, "block") and got[5][3] == "allow"
     assert len(url_filter.judge(df, listed.limit(0)).collect()) == len(urls)
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, d)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert F.col("x") is not None and docs.count() > 0
