@@ -99,7 +99,9 @@ def module_name(language: Column, path: Column, namespace: Column) -> Column:
 
 
 def clean_title(title: Column, default: str, limit: int = 80) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.substring(F.trim(title), 1, limit)), F.lit("")), F.lit(default))
+    """The title without outer white space, cut at `limit` characters; the default for an empty one."""
+    bare = F.regexp_replace(title, r"^\s+|\s+$", "")
+    return F.coalesce(F.nullif(F.substring(bare, 1, limit), F.lit("")), F.lit(default))
 
 
 def clean_tags(tags: Column, limit: int = 20) -> Column:

@@ -23,12 +23,12 @@ def links_of(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, distance): least number of links from any of the roots (column node), up to depth."""
-    links = links_of(edges).distinct()
-    seen = roots.select("node").distinct().withColumn("distance", F.lit(0))
+    links = links_of(edges).distinct().persist()  # each level joins it; lost blocks are computed anew
+    seen = roots.select("node").distinct().withColumn("distance", F.lit(0)).persist()
     frontier = seen
     for d in range(1, clamp_depth(depth) + 1):
         step = frontier.join(links, frontier["node"] == links["a"]).select(F.col("b").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
+        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)).persist()
         seen = seen.union(frontier)
     return seen
 
@@ -36,7 +36,7 @@ def distances(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def neighbourhood(symbols: DataFrame, edges: DataFrame, root: str, depth: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around a symbol. Every edge that touches a node short of the last level is kept, edges without a
     target too; those among nodes of the last level aren't. An unknown root gives no node and no edge."""
-    depth = clamp_depth(depth)
+    depth, edges = clamp_depth(depth), edges.persist()
     roots = symbols.where(F.col("symbol_id") == root).select(F.col("symbol_id").alias("node"))
     seen = distances(edges, roots, depth)
     nodes = symbols.join(seen, symbols["symbol_id"] == seen["node"]).drop("node")
@@ -51,19 +51,25 @@ def discovered_graph(symbols: DataFrame, edges: DataFrame, root: str, depth: int
     return nodes, induced_subgraph(touching, nodes.select(F.col("symbol_id").alias("node")))
 
 
-def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """The edges with both ends among ids (column node); repeated calls stay apart."""
-    return edges.join(ids, edges["caller_symbol_id"] == ids["node"], "left_semi").join(ids, edges["callee_symbol_id"] == ids["node"], "left_semi")
+def induced_subgraph(edges: DataFrame, ids: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The edges with both ends among ids (column node); repeated calls stay apart.
+
+    by: columns of ids that name several sets of nodes; then an edge is given for each set that holds both its ends."""
+    ids = ids.select(*(by or []), "node").distinct()
+    if not by:
+        return edges.join(ids, edges["caller_symbol_id"] == ids["node"], "left_semi").join(ids, edges["callee_symbol_id"] == ids["node"], "left_semi")
+    inner = edges.join(ids.withColumnRenamed("node", "caller_symbol_id"), "caller_symbol_id")
+    return inner.join(ids.withColumnRenamed("node", "callee_symbol_id"), [*by, "callee_symbol_id"], "left_semi")
 
 
 def reverse_reach(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(seed, node, distance): callers of each seed, transitively, at their least distance from it."""
-    back = edges.where(F.col("callee_symbol_id").isNotNull()).select(F.col("callee_symbol_id").alias("to"), F.col("caller_symbol_id").alias("by")).distinct()
+    back = edges.where(F.col("callee_symbol_id").isNotNull()).select(F.col("callee_symbol_id").alias("to"), F.col("caller_symbol_id").alias("by")).distinct().persist()
     seen = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("distance", F.lit(0))
     frontier, levels = seen, []
     for d in range(1, clamp_depth(depth) + 1):
         step = frontier.join(back, frontier["node"] == back["to"]).select("seed", F.col("by").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d))
+        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)).persist()
         seen = seen.union(frontier)
         levels.append(frontier)
     return reduce(DataFrame.union, levels)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .graph import reverse_reach
 
-KEY = ["language", "fqn", "signature"]
+KEY = ["repository_id", "language", "fqn", "signature"]
 #: Kinds of change, in the order of reports (fixed values).
 KINDS = ("added", "modified", "deleted", "moved")
 
@@ -19,7 +19,7 @@ def by_key(symbols: DataFrame) -> DataFrame:
 
 
 def diff_symbols(base: DataFrame, current: DataFrame) -> DataFrame:
-    """(language, fqn, signature, kind, base_id, current_id, base_path, current_path) of every changed key.
+    """(repository_id, language, fqn, signature, kind, base_id, current_id, base_path, current_path) of every changed key.
 
     Another path is moved, whatever the fingerprint; else another fingerprint is modified."""
     sides = []
@@ -33,12 +33,13 @@ def diff_symbols(base: DataFrame, current: DataFrame) -> DataFrame:
 
 def diff_files(base: DataFrame, current: DataFrame) -> DataFrame:
     """Paths whose content differs or that exist on one side only."""
-    a, b = (df.select("relative_path", F.col("content_fingerprint").alias(n)) for df, n in ((base, "a"), (current, "b")))
-    return a.join(b, "relative_path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("relative_path")
+    key = ["repository_id", "relative_path"]
+    a, b = (df.select(*key, F.col("content_fingerprint").alias(n)) for df, n in ((base, "a"), (current, "b")))
+    return a.join(b, key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(*key)
 
 
 def affected_callers(changes: DataFrame, base: DataFrame, base_edges: DataFrame, current: DataFrame, current_edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(symbol_id, fqn, relative_path, distance, seeds): unchanged callers within `depth` calls of a change.
+    """(repository_id, symbol_id, fqn, relative_path, distance, seeds): unchanged callers within `depth` calls of a change.
 
     A deleted symbol's callers are sought in the base graph, others' in the current one; the way may lead through
     changed callers, but only callers that both revisions hold alike are reported."""
@@ -49,7 +50,7 @@ def affected_callers(changes: DataFrame, base: DataFrame, base_edges: DataFrame,
     found = found.join(changes.select(*KEY).distinct(), KEY, "left_anti")
     now = by_key(current).select(*KEY, "symbol_id", F.col("relative_path").alias("p"), F.col("ast_fingerprint").alias("f"))
     same = found.join(now, KEY).where((F.col("relative_path") == F.col("p")) & (F.col("ast_fingerprint") == F.col("f")))
-    return same.groupBy("symbol_id", "fqn", "relative_path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("seed")).alias("seeds"))
+    return same.groupBy("repository_id", "symbol_id", "fqn", "relative_path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("seed")).alias("seeds"))
 
 
 def impact_status(has_baseline: bool, files: DataFrame, changes: DataFrame) -> DataFrame:

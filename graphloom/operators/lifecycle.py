@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def within(repository_id: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The rows of one repository: what a search, a graph or a list is asked of."""
+    return tuple(t.where(F.col("repository_id") == repository_id) for t in tables)
+
+
 def unique_match(symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., symbol_id) where exactly one symbol bears the keys."""
-    return symbols.groupBy(*keys).agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
+    """(repository_id, keys.., symbol_id) where exactly one symbol of the repository bears the keys."""
+    return symbols.groupBy("repository_id", *keys).agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
 
 
 def relink_notes(notes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Notes after an analysis: one whose (fqn, signature) stands among the symbols is linked to the least such id;
-    any other is an orphan and keeps its old symbol_id. updated_at isn't touched."""
-    found = symbols.groupBy(F.col("fqn").alias("symbol_fqn"), F.col("signature").alias("symbol_signature")).agg(F.min("symbol_id").alias("new_id"))
-    alive = symbols.select(F.col("symbol_id").alias("alive_id")).distinct()
-    met = notes.join(found, ["symbol_fqn", "symbol_signature"], "left").join(alive, notes["symbol_id"] == F.col("alive_id"), "left")
-    status = F.when(F.col("new_id").isNotNull() | F.col("alive_id").isNotNull(), "linked").otherwise("orphan")
+    any other is an orphan and keeps its old symbol_id. updated_at isn't touched. Repositories don't see each other."""
+    found = symbols.groupBy("repository_id", F.col("fqn").alias("symbol_fqn"), F.col("signature").alias("symbol_signature")).agg(F.min("symbol_id").alias("new_id"))
+    alive = symbols.select("repository_id", "symbol_id").distinct().withColumn("alive", F.lit(True))
+    met = notes.join(found, ["repository_id", "symbol_fqn", "symbol_signature"], "left").join(alive, ["repository_id", "symbol_id"], "left")
+    status = F.when(F.col("new_id").isNotNull() | F.col("alive").isNotNull(), "linked").otherwise("orphan")
     return met.withColumn("status", status).withColumn("symbol_id", F.coalesce("new_id", "symbol_id")).select(*notes.columns)
 
 
@@ -27,20 +32,21 @@ def relink_items(items: DataFrame, symbols: DataFrame) -> DataFrame:
     An item whose symbol is gone is orphaned (id null). Orphans are then matched by unique (fqn, signature), else by unique
     fingerprint; a target that a linked item of the collection holds is refused, and of several orphans with one
     target the least item id gets it. Location and names follow the target, the captured fingerprint doesn't."""
-    alive = symbols.select("symbol_id").distinct().withColumn("alive", F.lit(True))
-    seen = items.join(alive, "symbol_id", "left")
+    repo = "repository_id"
+    alive = symbols.select(repo, "symbol_id").distinct().withColumn("alive", F.lit(True))
+    seen = items.join(alive, [repo, "symbol_id"], "left")
     held = seen.where(F.col("alive") & (F.col("status") == "linked"))
     lost = seen.where(~(F.coalesce("alive", F.lit(False)) & (F.col("status") == "linked"))).withColumn("symbol_id", F.lit(None).cast("string"))
-    named = unique_match(symbols, ["fqn", "signature"]).select(F.col("fqn").alias("symbol_fqn"), F.col("signature").alias("symbol_signature"), F.col("symbol_id").alias("by_name"))
+    named = unique_match(symbols, ["fqn", "signature"]).select(repo, F.col("fqn").alias("symbol_fqn"), F.col("signature").alias("symbol_signature"), F.col("symbol_id").alias("by_name"))
     printed = unique_match(symbols, ["ast_fingerprint"]).withColumnRenamed("symbol_id", "by_print")
-    aimed = lost.join(named, ["symbol_fqn", "symbol_signature"], "left").join(printed, "ast_fingerprint", "left").withColumn("target", F.coalesce("by_name", "by_print"))
+    aimed = lost.join(named, [repo, "symbol_fqn", "symbol_signature"], "left").join(printed, [repo, "ast_fingerprint"], "left").withColumn("target", F.coalesce("by_name", "by_print"))
     taken = held.select("collection_id", F.col("symbol_id").alias("target")).distinct().withColumn("taken", F.lit(True))
     aimed = aimed.join(taken, ["collection_id", "target"], "left")
     free = F.col("target").isNotNull() & F.col("taken").isNull()
     first = F.row_number().over(Window.partitionBy("collection_id", F.when(free, F.col("target")), free, F.when(~free, F.col("id"))).orderBy("id")) == 1
     aimed = aimed.withColumn("won", first & free)
-    now = symbols.groupBy(F.col("symbol_id").alias("target")).agg(F.min(F.struct("fqn", "signature", "relative_path", "start_line", "end_line")).alias("now"))
-    met = aimed.join(now, "target", "left")
+    now = symbols.groupBy(repo, F.col("symbol_id").alias("target")).agg(F.min(F.struct("fqn", "signature", "relative_path", "start_line", "end_line")).alias("now"))
+    met = aimed.join(now, [repo, "target"], "left")
     fresh = {"symbol_id": F.col("target"), "symbol_fqn": F.col("now.fqn"), "symbol_signature": F.col("now.signature"), "relative_path": F.col("now.relative_path"), "start_line": F.col("now.start_line"), "end_line": F.col("now.end_line"), "status": F.lit("linked")}
     old = {c: F.lit("orphan") if c == "status" else F.col(c) for c in items.columns}
     done = met.select(*[F.when(F.col("won"), fresh[c]).otherwise(old[c]).alias(c) if c in fresh else F.col(c) for c in items.columns])
@@ -120,8 +126,8 @@ def add_items(items: DataFrame, new: DataFrame) -> DataFrame:
 
 def mark_reviewed(items: DataFrame, symbols: DataFrame, item_id: int) -> DataFrame:
     """The item's capture is renewed from its current symbol; one that isn't linked to a live symbol is left as it is."""
-    now = symbols.groupBy("symbol_id").agg(F.min(F.struct("ast_fingerprint", "relative_path", "start_line", "end_line")).alias("now"))
-    met = items.join(now, "symbol_id", "left")
+    now = symbols.groupBy("repository_id", "symbol_id").agg(F.min(F.struct("ast_fingerprint", "relative_path", "start_line", "end_line")).alias("now"))
+    met = items.join(now, ["repository_id", "symbol_id"], "left")
     hit = (F.col("id") == item_id) & (F.col("status") == "linked") & F.col("now").isNotNull()
     fresh = {c: F.col(f"now.{c}") for c in ("ast_fingerprint", "relative_path", "start_line", "end_line")} | {"reviewed_at": F.current_timestamp()}
     return met.select(*[F.when(hit, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in items.columns])
@@ -130,8 +136,8 @@ def mark_reviewed(items: DataFrame, symbols: DataFrame, item_id: int) -> DataFra
 def relink_item(items: DataFrame, symbols: DataFrame, item_id: int, symbol_id: str) -> DataFrame:
     """The item is tied to a symbol and captures it, unless another linked item of its collection has that symbol."""
     taken = items.where((F.col("status") == "linked") & (F.col("symbol_id") == symbol_id) & (F.col("id") != item_id)).select("collection_id").distinct().withColumn("taken", F.lit(True))
-    now = symbols.where(F.col("symbol_id") == symbol_id).agg(F.min(F.struct("symbol_id", "fqn", "signature", "relative_path", "start_line", "end_line", "ast_fingerprint")).alias("now"))
-    met = items.join(taken, "collection_id", "left").join(now)
+    now = symbols.where(F.col("symbol_id") == symbol_id).groupBy("repository_id").agg(F.min(F.struct("symbol_id", "fqn", "signature", "relative_path", "start_line", "end_line", "ast_fingerprint")).alias("now"))
+    met = items.join(taken, "collection_id", "left").join(now, "repository_id", "left")
     hit = (F.col("id") == item_id) & F.col("taken").isNull() & F.col("now").isNotNull()
     fresh = {"symbol_id": "symbol_id", "symbol_fqn": "fqn", "symbol_signature": "signature", "relative_path": "relative_path", "start_line": "start_line", "end_line": "end_line", "ast_fingerprint": "ast_fingerprint"}
     values = {c: F.col(f"now.{f}") for c, f in fresh.items()} | {"status": F.lit("linked")}
@@ -197,7 +203,7 @@ def restoration_flags(requests: DataFrame, repositories: DataFrame, runs: DataFr
 
 
 def owner_groups(symbols: DataFrame) -> DataFrame:
-    """(language, relative_path, owner, members): symbols by owner within a file, members by line and id."""
+    """(repository_id, language, relative_path, owner, members): symbols by owner within a file, members by line and id."""
     owner = F.regexp_extract("fqn", r"(?s)^(.*)\.[^.]*$", 1)
     w = symbols.withColumn("owner", owner)
-    return w.groupBy("language", "relative_path", "owner").agg(F.array_sort(F.collect_list(F.struct("start_line", "symbol_id"))).alias("m")).select("language", "relative_path", "owner", F.col("m.symbol_id").alias("members"))
+    return w.groupBy("repository_id", "language", "relative_path", "owner").agg(F.array_sort(F.collect_list(F.struct("start_line", "symbol_id"))).alias("m")).select("repository_id", "language", "relative_path", "owner", F.col("m.symbol_id").alias("members"))

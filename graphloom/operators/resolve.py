@@ -23,23 +23,23 @@ def resolve_calls(symbols: DataFrame, calls: DataFrame, keep: tuple[str, ...] =
     fallback); else in the caller's scope; else in its file, for unqualified calls; else anywhere in its language. One
     candidate is resolved if the call has a receiver type, is unqualified or refers to itself; none is unresolved;
     all else is ambiguous. web: no receiver types, and a single candidate is resolved however the call is written.
-    A caller that isn't among the symbols has no scope and no file."""
-    s = symbols.select("symbol_id", "language", "relative_path", lookup_name(F.col("language"), simple_name(F.col("fqn"))).alias("name"), parent_scope(F.col("fqn")).alias("scope"), owner_name(F.col("fqn")).alias("owner"), "fqn")
-    callers = s.groupBy(F.col("symbol_id").alias("caller_symbol_id")).agg(F.min(F.struct("scope", "relative_path")).alias("at"))
-    c = calls.join(callers, "caller_symbol_id", "left")
+    A caller that isn't among the symbols has no scope and no file. All of it happens within a call's repository."""
+    s = symbols.select("repository_id", "symbol_id", "language", "relative_path", lookup_name(F.col("language"), simple_name(F.col("fqn"))).alias("name"), parent_scope(F.col("fqn")).alias("scope"), owner_name(F.col("fqn")).alias("owner"), "fqn")
+    callers = s.groupBy("repository_id", F.col("symbol_id").alias("caller_symbol_id")).agg(F.min(F.struct("scope", "relative_path")).alias("at"))
+    c = calls.join(callers, ["repository_id", "caller_symbol_id"], "left")
     c = c.withColumn("name", lookup_name(F.col("language"), F.col("target_name"))).withColumn("scope", F.col("at.scope")).withColumn("relative_path", F.col("at.relative_path"))
-    for keys, kind in ((["language", "scope", "name"], "scope"), (["language", "relative_path", "name"], "file"), (["language", "name"], "all")):
+    for keys, kind in ((["repository_id", "language", "scope", "name"], "scope"), (["repository_id", "language", "relative_path", "name"], "file"), (["repository_id", "language", "name"], "all")):
         c = c.join(_counted(s, keys, kind), keys, "left")
     n = lambda kind: F.coalesce(F.col(f"{kind}_n"), F.lit(0))
     typed = F.lit(False)
     if not web:
         typed = F.col("receiver_type").isNotNull()
         owned = s.withColumnRenamed("owner", "receiver_type")
-        c = c.join(_counted(owned, ["language", "receiver_type", "name"], "typed"), ["language", "receiver_type", "name"], "left")
+        c = c.join(_counted(owned, ["repository_id", "language", "receiver_type", "name"], "typed"), ["repository_id", "language", "receiver_type", "name"], "left")
         modules = owned.withColumn("module", strip_module_suffix(F.col("relative_path")))
         modules = modules.withColumn("module", F.explode(F.array_distinct(F.array("module", F.regexp_replace("module", "/index$", "")))))
         c = c.withColumn("module", resolve_module(F.col("relative_path"), F.col("receiver_module")))
-        c = c.join(_counted(modules, ["language", "receiver_type", "name", "module"], "imported"), ["language", "receiver_type", "name", "module"], "left")
+        c = c.join(_counted(modules, ["repository_id", "language", "receiver_type", "name", "module"], "imported"), ["repository_id", "language", "receiver_type", "name", "module"], "left")
     in_file = (n("file") > 0) & ~F.col("is_qualified")
 
     def pick(what: str) -> Column:

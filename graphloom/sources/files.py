@@ -1,15 +1,17 @@
-"""Source trees as DataFrames: file listing, bounded reads, Git metadata, JSON state."""
+"""Source trees as DataFrames: file listing, bounded reads, Git metadata."""
 
 from __future__ import annotations
 
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import fnv64
-from ..functions.names import is_excluded, language_of, normalize_path
+from ..functions.hashing import fnv64_text
+from ..functions.names import is_excluded, language_of, normalize_path, source_lines
 
 #: Limits (fixed values): bytes of a file, files of an analysis in the web variant.
 MAX_BYTES, MAX_FILES = 2 * 1024 * 1024, 5_000
@@ -18,20 +20,31 @@ MAX_BYTES, MAX_FILES = 2 * 1024 * 1024, 5_000
 def read_sources(spark: SparkSession, root: str, ignored: DataFrame | None = None, web: bool = False) -> DataFrame:
     """(relative_path, language, length, text, content_fingerprint, reason) of every file that a language claims.
 
-    reason is null for a readable one, else too_large (strictly over the limit) or not_utf8. ignored: DataFrame with
-    column relative_path. web: suffixes in any case, excluded folders pruned, the first MAX_FILES by path."""
+    reason is null for a readable one, else too_large (strictly over the limit), outside (a link that leaves the root)
+    or not_utf8. A file that is too large isn't opened; empty files aren't listed (Spark's reader passes over them). ignored: DataFrame with column relative_path. web: suffixes in
+    any case, excluded folders pruned, the first MAX_FILES by path."""
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = read().select("path", "length")  # the listing alone: contents aren't read for it
     path = normalize_path(F.element_at(F.split(F.col("path"), r"\Q" + base + r"\E", 2), -1))
-    files = files.withColumn("relative_path", path).withColumn("language", language_of(F.col("relative_path"), any_case=web)).where("language is not null")
-    files = files.where(~is_excluded(F.col("relative_path"))) if web else files
-    files = files.join(ignored, "relative_path", "left_anti") if ignored is not None else files
-    files = files.orderBy("relative_path").limit(MAX_FILES) if web else files
-    small = F.col("length") <= MAX_BYTES
-    good = small & F.is_valid_utf8(F.col("content"))
+    listed = listed.withColumn("relative_path", path).withColumn("language", language_of(F.col("relative_path"), any_case=web)).where("language is not null")
+    listed = listed.where(~is_excluded(F.col("relative_path"))) if web else listed
+    listed = listed.join(ignored, "relative_path", "left_anti") if ignored is not None else listed
+    listed = listed.orderBy("relative_path").limit(MAX_FILES) if web else listed
+    away = _outside(F.col("path"), F.lit(root))
+    small = read().where(F.col("length") <= MAX_BYTES).select("path", "content")  # the reader skips larger files
+    met = listed.withColumn("away", away).join(small, "path", "left")
+    good = ~F.col("away") & F.is_valid_utf8(F.col("content"))
     text = F.when(good, F.decode("content", "UTF-8"))
-    reason = F.when(~small, "too_large").when(~good, "not_utf8")
-    return files.select("relative_path", "language", "length", text.alias("text"), F.when(good, fnv64(text)).alias("content_fingerprint"), reason.alias("reason"))
+    reason = F.when(F.col("length") > MAX_BYTES, "too_large").when(F.col("away"), "outside").when(~F.coalesce(good, F.lit(False)), "not_utf8")
+    return met.select("relative_path", "language", "length", text.alias("text"), fnv64_text(text).alias("content_fingerprint"), reason.alias("reason"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _outside(paths: pd.Series, root: pd.Series) -> pd.Series:
+    """A path whose links lead out of the root. Only where the file system is mounted can a path be a link."""
+    local = lambda p: Path(p.removeprefix("file:").replace("//", "/"))
+    return pd.Series([not local(p).resolve().is_relative_to(local(r).resolve()) for p, r in zip(paths, root, strict=True)])
 
 
 def _git(root: str, *args: str) -> str | None:
@@ -76,24 +89,11 @@ def read_source(spark: SparkSession, root: str, relative_path: str) -> DataFrame
     return spark.read.text(str(file), wholetext=True).select(F.lit(relative_path).alias("relative_path"), F.col("value").alias("text"))
 
 
-STATE_VERSION = 3
-_STATE = "version int, data struct<symbols: array<string>, edges: array<struct<id: bigint, source: string, target: string>>, collections: array<struct<id: bigint, title: string, items: array<struct<id: bigint, sortOrder: bigint>>>>, reanalysisRequired: boolean>"
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state document, migrated to the current version; one of a newer version is an error.
-
-    Before 2, items get their place as sort order; before 3, edges without a source drop the index and ask for a new analysis."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", _STATE).alias("s")).select("s.*")
-    known = F.assert_true(F.col("version") <= STATE_VERSION, "the state is of a newer version")
-    items = lambda c: F.transform(c["items"], lambda x, i: F.when(F.col("version") < 2, F.struct(x["id"].alias("id"), i.cast("bigint").alias("sortOrder"))).otherwise(x))
-    collections = F.transform("data.collections", lambda c: F.struct(c["id"].alias("id"), c["title"].alias("title"), items(c).alias("items")))
-    lost = (F.col("version") < 3) & F.exists("data.edges", lambda e: e["source"].isNull() | (e["source"] == ""))
-    empty = lambda c: F.when(F.coalesce(lost, F.lit(False)), F.slice(c, 1, 0)).otherwise(F.col(c))
-    return raw.where(known.isNull()).select(F.lit(STATE_VERSION).alias("version"), empty("data.symbols").alias("symbols"), empty("data.edges").alias("edges"), collections.alias("collections"), (F.coalesce(lost, F.lit(False)) | F.coalesce("data.reanalysisRequired", F.lit(False))).alias("reanalysis_required"))
-
-
-def write_state(state: DataFrame, path: str) -> None:
-    """The state as one JSON text a row; columns named source, text or content are left out."""
-    kept = [c for c in state.columns if c not in ("source", "text", "content")]
-    state.select(F.to_json(F.struct(*kept), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+def source_for_symbol(spark: SparkSession, root: str, symbols: DataFrame, repository_id: str, symbol_id: str) -> DataFrame:
+    """(symbol_id, relative_path, start_line, end_line, text): the lines of one symbol, from its file."""
+    row = symbols.where((F.col("repository_id") == repository_id) & (F.col("symbol_id") == symbol_id)).select("symbol_id", "relative_path", "start_line", "end_line").first()
+    if row is None:
+        raise ValueError(f"no symbol {symbol_id} in {repository_id}")
+    whole = read_source(spark, root, row["relative_path"])
+    lines = source_lines(F.col("text"), F.lit(row["start_line"]), F.lit(row["end_line"]))
+    return whole.select(F.lit(row["symbol_id"]).alias("symbol_id"), "relative_path", F.lit(row["start_line"]).alias("start_line"), F.lit(row["end_line"]).alias("end_line"), lines.alias("text"))
