@@ -113,3 +113,9 @@ def collection_exports(collections: DataFrame, items: DataFrame, symbols: DataFr
     text = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.concat(F.lit(f"{markdown.TAGS}: "), tags), F.nullif(overview, F.lit("")), F.nullif(F.array_join(F.coalesce(numbered("text", "## "), none), "\n\n"), F.lit("")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return done.select("id", html.alias("html"), text.alias("text"), zero("n").alias("included_notes"), zero("resolved").alias("resolved"), zero("unresolved").alias("unresolved"))
+
+
+def write_exports(exports: DataFrame, path: str) -> None:
+    """Exports as files: a folder a row, named by id, with one html and one text row (the text is what stands in for rich text)."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("format"), F.col(k).alias("value")) for k in ("html", "text")]))
+    exports.select("id", kinds.alias("x")).select("id", "x.format", "x.value").write.mode("overwrite").partitionBy("id", "format").option("lineSep", "\n").text(path)

@@ -11,6 +11,13 @@ def within(repository_id: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
     return tuple(t.where(F.col("repository_id") == repository_id) for t in tables)
 
 
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The rows with these values in these columns: one at most where the columns are a key. A pushed-down filter."""
+    for column, value in keys.items():
+        rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
+    return rows
+
+
 def unique_match(symbols: DataFrame, keys: list[str]) -> DataFrame:
     """(repository_id, keys.., symbol_id) where exactly one symbol of the repository bears the keys."""
     return symbols.groupBy("repository_id", *keys).agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")

@@ -341,3 +341,30 @@ def _(spark, d):
 def _(spark, d):
     linked = m.items(spark, d).where("status = 'linked'").select("collection_id", F.col("symbol_id").alias("node"))
     return graph.induced_subgraph(m.call_edges(spark, d), linked, ["collection_id"]).groupBy("collection_id").agg(F.count("*").alias("edges"))
+
+
+@query("note_by_id", "SELECT id, symbol_id FROM o WHERE id = 7", P, O)
+def _(spark, d):
+    return lifecycle.lookup(m.notes(spark, d), id=7).select("id", "symbol_id")
+
+
+@query("repository_by_path", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS root_path FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
+def _(spark, d):
+    rows = m.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("root_path"))
+    return lifecycle.lookup(rows, root_path=rows.agg(F.min("root_path")).first()[0])
+
+
+@query("snapshot_by_id", "SELECT event_id AS snapshot_id, CAST(user_id AS VARCHAR) AS repository_id FROM events WHERE event_id = 11")
+def _(spark, d):
+    log = m.read(spark, d, "events").select(F.col("event_id").alias("snapshot_id"), F.col("user_id").cast("string").alias("repository_id"))
+    return lifecycle.lookup(log, snapshot_id=11)
+
+
+@query("symbol_by_id", "SELECT symbol_id, fqn FROM p WHERE repository_id = 'repo_main' AND symbol_id = '1'", P)
+def _(spark, d):
+    return lifecycle.lookup(m.symbols(spark, d), repository_id=m.REPOSITORY, symbol_id="1").select("symbol_id", "fqn")
+
+
+@query("item_by_id", "SELECT id, collection_id FROM i WHERE collection_id = 1 AND id = 1000", P, I)
+def _(spark, d):
+    return lifecycle.lookup(m.items(spark, d), collection_id=1, id=1000).select("id", "collection_id")

@@ -85,7 +85,7 @@ def write_state(state: DataFrame, path: str) -> None:
 WORKSPACES = {"explore": "explore", "record": "record", "collections": "collections", "find": "explore", "understand": "explore"}
 
 
-def workspace_state(text: str = "state_json") -> DataFrame | list[Column]:
+def workspace_state(text: str = "state_json") -> list[Column]:
     """Columns of a workspace state from a JSON text; valid is false where the whole state is to be refused.
 
     The version must be 1, the workspace a known one, the query a text, the depth a whole number from 1 to 3 and the drafts
@@ -110,3 +110,11 @@ def workspace_state(text: str = "state_json") -> DataFrame | list[Column]:
     parts = {"active_workspace": workspace, "query": string("$.query"), "depth": depth, "selected_note_id": whole("$.selectedNoteId"), "line_range": span("$.lineReferenceRange", 1), "viewport": viewport, "source_scroll_top": place("$.sourceScrollTop"), "markdown_selection": span("$.markdownSelection", 0), "markdown_scroll_top": place("$.markdownScrollTop"), "selected_collection_id": whole("$.selectedCollectionId"), "drafts": F.size(F.try_variant_get(v, "$.noteDrafts", "array<variant>"))}
     good = F.coalesce(valid, F.lit(False))
     return [good.alias("valid"), *[F.when(good, c).alias(n) for n, c in parts.items()]]
+
+
+def workspace_json(selected_symbol: Column | None = None, drafts: Column | None = None) -> Column:
+    """The JSON text of a workspace state's columns; workspace_state() reads it back."""
+    names = {"activeWorkspace": "active_workspace", "query": "query", "depth": "depth", "selectedNoteId": "selected_note_id", "lineReferenceRange": "line_range", "graphViewport": "viewport", "sourceScrollTop": "source_scroll_top", "markdownSelection": "markdown_selection", "markdownScrollTop": "markdown_scroll_top", "selectedCollectionId": "selected_collection_id"}
+    none = F.array().cast("array<string>") if drafts is None else drafts
+    parts = [F.lit(1).alias("version"), *[F.col(c).alias(n) for n, c in names.items()], none.alias("noteDrafts")]
+    return F.to_json(F.struct(*parts, *([] if selected_symbol is None else [selected_symbol.alias("selectedSymbol")])))

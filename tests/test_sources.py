@@ -148,6 +148,21 @@ def test_workspace_states(spark):
     assert odd.valid and odd.line_range is odd.viewport is odd.markdown_selection is odd.selected_note_id is None and odd.source_scroll_top == 0
 
 
+def test_workspace_round_trip(spark):
+    df = spark.createDataFrame([(json.dumps(GOOD),)], "state_json string").select(*state.workspace_state())
+    again = df.select(state.workspace_json().alias("state_json")).select(*state.workspace_state())
+    assert again.drop("drafts").collect() == df.drop("drafts").collect()
+
+
+def test_written_exports(spark, tmp_path):
+    from graphloom.operators import exports
+
+    rows = spark.createDataFrame([(1, "<p>a</p>", "a"), (2, "<p>b</p>", "b\nc")], "id bigint, html string, text string")
+    exports.write_exports(rows, str(tmp_path / "x"))
+    assert spark.read.text(str(tmp_path / "x/id=2/format=text"), wholetext=True).first().value.rstrip("\n") == "b\nc"
+    assert spark.read.text(str(tmp_path / "x/id=1/format=html")).first().value == "<p>a</p>"
+
+
 def test_web_repository(spark):
     from graphloom.operators import mutations
 
