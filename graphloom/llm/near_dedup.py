@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import bounded_broadcast, kept, row_key, scratch, slices, stage, text_bytes, unstage
+from .common import bounded_broadcast, kept, row_key, scratch, slices, stage, text_bytes, trimmed, unstage
 from .components import components
 
 CHUNKS, SYMBOLS = 12, 4
@@ -193,13 +193,13 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _texts_sets(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(k, node, items) of the wanted (k, node)."""
     texts = base.join(bounded_broadcast(wanted), "k").select("k", "node", "text")
-    return texts.mapInArrow(full_sets(size), "k binary, node bigint, items array<bigint>")
+    return texts.mapInArrow(trimmed(full_sets(size)), "k binary, node bigint, items array<bigint>")
 
 
 def _classes(base: DataFrame, size: int, digest_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows without words; rows (doc_id, k, n, node); classes (node, k, n, s0 ..), whose rows have equal sets."""
     kinds = ", ".join(["doc_id bigint", "k binary", "n bigint", "f binary", *(f"{s} bigint" for s in SIG)])
-    rows = stage(base.mapInArrow(signatures(size, digest_bytes), kinds), "signatures")
+    rows = stage(base.mapInArrow(trimmed(signatures(size, digest_bytes)), kinds), "signatures")
     one = F.min(F.struct("k", *SIG)).alias("one")
     classes = rows.where("n > 0").groupBy("f", "n").agg(one, F.count("*").alias("c"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "f", "n", "c", "one.*"), "classes")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, new_path, slices
+from .common import BROADCAST_ROWS, new_path, slices, trimmed
 
 END_ID = 2
 #: Pieces that a worker keeps in each of three tables (beyond, the table begins anew), and the characters of a piece
@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = base.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    coded = ordered.mapInArrow(encoder(tokenizer_path, end_id), "doc_id bigint, n_tokens bigint, start_in_file bigint, file_no int, ids_crc32 bigint, tokens array<int>")
+    coded = ordered.mapInArrow(trimmed(encoder(tokenizer_path, end_id)), "doc_id bigint, n_tokens bigint, start_in_file bigint, file_no int, ids_crc32 bigint, tokens array<int>")
     options = {"parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.writer.version": "v2", "parquet.enable.dictionary": str(dictionary).lower(), "compression": "zstd"}
     coded.write.options(**options).parquet(path)
     return path
@@ -181,4 +181,4 @@ def token_index(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
     """Write the documents' token files and return, from the files, (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
     path = write_tokens(docs, path or new_path(spark, "token-files"), tokenizer_path, **options)
-    return read_tokens(spark, path).select("doc_id", "start", "tokens").mapInArrow(ids_digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_tokens(spark, path).select("doc_id", "start", "tokens").mapInArrow(trimmed(ids_digest), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices, text_bytes
+from .common import slices, text_bytes, trimmed
 
 #: Labelled rows to fit on, and bytes of their texts: what one task holds.
 MAX_ROWS, MAX_BYTES = 8_000, 64 << 20
@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = rows.groupBy("i", "k", "y").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("b")).orderBy(F.xxhash64("i"), "i", "k", "y").limit(max_rows)
     before = Window.orderBy(F.xxhash64("i"), "i", "k", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of max_rows rows at most
     wanted = sizes.withColumn("sum", F.sum("b").over(before)).where(F.col("sum") <= max_bytes).select("i", "k", "y")
-    got = rows.join(F.broadcast(wanted), ["i", "k", "y"]).dropDuplicates(["i", "k", "y"]).select("i", "t", "y").repartition(1).mapInArrow(_fit_rows, "model binary").first()
+    got = rows.join(F.broadcast(wanted), ["i", "k", "y"]).dropDuplicates(["i", "k", "y"]).select("i", "t", "y").repartition(1).mapInArrow(trimmed(_fit_rows), "model binary").first()
     return pickle.loads(got["model"]) if got else fit([], [])
 
 
@@ -322,7 +322,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) for every document."""
     model = train(docs, labels, id_col, text_col, **options)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    got = base.mapInArrow(scorer(model), "doc_id bigint, score double")
+    got = base.mapInArrow(trimmed(scorer(model)), "doc_id bigint, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -335,4 +335,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             column = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array(model.score(*text_bytes(column)) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
