@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, lm_scoring, mixing, near_dedup, secret_scan, sql, token_output, topk_search, toxicity, url_filter
+from . import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, resampling, secret_scan, sql, token_output, topk_search, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str, listed: DataFrame | None =
     return found.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), 4)
+    each = rows.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("i", "whitened"))
+    return each.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("i")).alias("explained"), "identity_error")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op6_secret_scan SQL can express."""
     return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -81,6 +96,11 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 
+def embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op12_embedding_whitening SQL can express."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 1).select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
@@ -92,8 +112,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
+    "op11_language_id": op11_language_id,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_importance_resampling": op13_importance_resampling,
     "secret_scan_base": secret_scan_base,
     "lm_base_scores": lm_base_scores,
+    "embedding_deviations": embedding_deviations,
 }
 
 SQL: dict[str, str] = {
@@ -101,6 +125,9 @@ SQL: dict[str, str] = {
     "op4_topk_search": topk_search.SQL,
     "op8_near_dedup": sql.NEAR_DEDUP,
     "op10_url_filter": sql.URL_FILTER,
+    "op11_language_id": language_id.SQL,
+    "op13_importance_resampling": resampling.SQL,
     "secret_scan_base": sql.SECRET_BASE,
     "lm_base_scores": sql.LM_BASE,
+    "embedding_deviations": sql.DEVIATIONS,
 }

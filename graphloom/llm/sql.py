@@ -66,3 +66,13 @@ n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
 SELECT t.doc_id, t.held AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, n.n AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 6) AS base_score
 FROM t CROSS JOIN n LEFT JOIN c ON c.word = coalesce('w' || t.word, 'end') GROUP BY t.doc_id, t.held, n.n
 """
+
+DEVIATIONS = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+u AS (SELECT DISTINCT x FROM v),
+s AS (SELECT list(s ORDER BY i) AS s FROM (SELECT i, CAST(sum(x[i]) AS BIGINT) AS s FROM u, unnest(range(1, len(x) + 1)) AS r(i) GROUP BY i)),
+n AS (SELECT count(*) AS n FROM u)
+SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation FROM v, s, n
+"""
