@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staged import staged
+from .orders import placed
+
 MAX_DEPTH = 3
 
 
@@ -51,6 +54,25 @@ def discovered_graph(symbols: DataFrame, edges: DataFrame, root: str, depth: int
     return nodes, induced_subgraph(touching, nodes.select(F.col("symbol_id").alias("node")))
 
 
+def discovery_order(symbols: DataFrame, edges: DataFrame, root: str, depth: int) -> DataFrame:
+    """(symbol_id, distance, place): the nodes of discovered_graph in the order in which a search from the root finds them.
+
+    A search takes nodes in the order of their finding, and each node's edges in order of edge_id. So a node's rank is the
+    edges by which it is first found, from the root on: the least rank of a parent, then the edge's place. Ranks are at
+    most MAX_DEPTH numbers long, go along with the frontier, and are sorted by ranges at the end."""
+    known = edges.where(F.col("callee_symbol_id").isNotNull())
+    there = known.select(F.col("caller_symbol_id").alias("a"), F.col("callee_symbol_id").alias("b"), "edge_id")
+    links = there.union(there.select("b", "a", "edge_id"))
+    seen = symbols.where(F.col("symbol_id") == root).select(F.col("symbol_id").alias("node"), F.lit(0).alias("distance"), F.array().cast("array<bigint>").alias("rank")).distinct()
+    frontier = seen
+    for d in range(1, clamp_depth(depth) + 1):
+        step = frontier.join(links, frontier["node"] == links["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.concat("rank", F.array("edge_id"))).alias("rank"))
+        frontier = staged(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("distance"), "rank"), "frontier")
+        seen = seen.union(frontier)
+    alive = seen.join(symbols.select(F.col("symbol_id").alias("node")).distinct(), "node", "left_semi")
+    return placed(lambda: [F.col("distance"), F.col("rank")], alive).select(F.col("node").alias("symbol_id"), "distance", "place")
+
+
 def induced_subgraph(edges: DataFrame, ids: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The edges with both ends among ids (column node); repeated calls stay apart.
 

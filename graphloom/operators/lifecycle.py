@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orders import placed
+
 
 def within(repository_id: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
     """The rows of one repository: what a search, a graph or a list is asked of."""
@@ -120,15 +122,23 @@ def next_ordinal(items: DataFrame) -> DataFrame:
     return items.groupBy("collection_id").agg((F.coalesce(F.max("sort_order"), F.lit(-1)) + 1).alias("next_order"))
 
 
-def add_items(items: DataFrame, new: DataFrame) -> DataFrame:
-    """items with the rows of `new` (its columns less id and sort_order) that duplicate no (collection, fqn, signature, path)."""
+def new_items(items: DataFrame, new: DataFrame, top: int | None = None) -> DataFrame:
+    """The rows of `new` (its columns less id and sort_order) that duplicate no (collection, fqn, signature, path), with
+    ids that go on from `top`, the largest so far, and places that go on in their collections."""
     key = ["collection_id", "symbol_fqn", "symbol_signature", "relative_path"]
+    top = items.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
     fresh = new.dropDuplicates(key).join(items, key, "left_anti").join(next_ordinal(items), "collection_id", "left")
-    w = Window.partitionBy("collection_id").orderBy("symbol_fqn", "symbol_signature", "relative_path")
-    top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    placed = fresh.join(top).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("collection_id", "symbol_fqn", "symbol_signature", "relative_path")))
-    placed = placed.withColumn("sort_order", (F.coalesce("next_order", F.lit(0)) + F.row_number().over(w) - 1).cast("bigint")).drop("top", "next_order")
-    return items.unionByName(placed, allowMissingColumns=True)
+    # one numbering gives both: places within a collection are those of all, less the collection's first
+    dealt = placed(lambda: [F.col(c) for c in key], fresh)
+    first = dealt.groupBy("collection_id").agg(F.min("place").alias("_first"))
+    met = dealt.join(first, "collection_id").withColumn("id", (F.lit(top) + F.col("place")).cast("bigint"))
+    met = met.withColumn("sort_order", (F.coalesce("next_order", F.lit(0)) + F.col("place") - F.col("_first")).cast("bigint"))
+    return met.select(*[(F.col(f.name) if f.name in met.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in items.schema.fields])
+
+
+def add_items(items: DataFrame, new: DataFrame) -> DataFrame:
+    """items with the new ones."""
+    return items.unionByName(new_items(items, new))
 
 
 def mark_reviewed(items: DataFrame, symbols: DataFrame, item_id: int) -> DataFrame:

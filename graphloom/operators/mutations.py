@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.labels import DEFAULT_NOTE
 from ..functions.names import clean_tags, clean_title
 from .impact import latest_run
+from ..sources.staged import staged
 from .lifecycle import next_ordinal
+from .orders import placed
 
 _NOW = F.current_timestamp
 
 
-def _placed(rows: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
-    """rows with ids that go on from the largest known one, in a total order."""
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    return rows.join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.row_number().over(Window.orderBy(*order))).cast("bigint")).drop("_top")
+def _placed(rows: DataFrame, top: int, order: list[str]) -> DataFrame:
+    """rows with ids that go on from the largest known one, in a total order; dealt by ranges, over all tasks."""
+    return placed(lambda: [F.col(c) for c in order], rows).withColumn("id", (F.lit(top) + F.col("place")).cast("bigint")).drop("place")
+
+
+def _top(known: DataFrame, top: int | None) -> int:
+    return known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
 
 
 def _captured(asked: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -30,14 +35,19 @@ def _captured(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     return asked.join(symbols.groupBy("repository_id", "symbol_id").agg(whole), ["repository_id", "symbol_id"])
 
 
-def create_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
-    """notes with a new one for each request (repository_id, symbol_id, title) whose symbol is there: linked, empty body.
+def new_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None, top: int | None = None) -> DataFrame:
+    """The new note of each request (repository_id, symbol_id, title) whose symbol is there: linked, empty body.
 
-    Its search text (see search_rows) is the symbol's name and the title."""
+    top: the largest id so far, if known. The search text (see search_rows) is the symbol's name and the title."""
     at = _NOW() if now is None else now
     new = _captured(asked, symbols).select("repository_id", "symbol_id", F.col("now.fqn").alias("symbol_fqn"), F.col("now.signature").alias("symbol_signature"), "title", F.lit("").alias("body_markdown"), F.array().cast("array<string>").alias("tags"), F.lit("linked").alias("status"), at.alias("created_at"), at.alias("updated_at"))
-    new = _placed(new, notes, ["repository_id", "symbol_id", "title"])
-    return notes.unionByName(new.select(*[c for c in new.columns if c in notes.columns]), allowMissingColumns=True)
+    new = _placed(new, _top(notes, top), ["repository_id", "symbol_id", "title"])
+    return new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in notes.schema.fields])
+
+
+def create_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
+    """notes with the new ones."""
+    return notes.unionByName(new_notes(notes, symbols, asked, now))
 
 
 def update_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
@@ -53,15 +63,22 @@ def update_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Co
     return met.select(*[F.when(hit, done[c]).otherwise(F.col(c)).alias(c) if c in done else F.col(c) for c in notes.columns])
 
 
-def save_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
+def saved_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None, top: int | None = None) -> DataFrame:
     """The older way to write: each request (repository_id, symbol_id, body_markdown, tags) goes to its symbol's newest
-    linked note, or to a new one with the default title; the title stays."""
+    linked note, or to a new one with the default title; the title stays. What comes out is the notes so written."""
     key = ["repository_id", "symbol_id"]
     newest = notes.where("status = 'linked'").groupBy(*key).agg(F.max(F.struct("updated_at", "id", "title")).alias("old")).select(*key, "old.id", "old.title")
     without = asked.join(newest, key, "left_anti").select(*key, F.lit(DEFAULT_NOTE).alias("title")).distinct()
-    every = create_notes(notes, symbols, without, now)
-    made = every.join(notes.select("id"), "id", "left_anti").select(*key, "id", "title")
-    return update_notes(every, symbols, asked.join(newest.unionByName(made), key), now)
+    made = new_notes(notes, symbols, without, now, top)
+    old = notes.join(newest.join(asked.select(*key).distinct(), key, "left_semi").select("id"), "id", "left_semi").select(*notes.columns)
+    aims = newest.unionByName(made.select(*key, "id", "title"))
+    return update_notes(old.unionByName(made), symbols, asked.join(aims, key), now)
+
+
+def save_notes(notes: DataFrame, symbols: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
+    """notes with those that saved_notes writes."""
+    done = staged(saved_notes(notes, symbols, asked, now), "saved")
+    return notes.join(done.select("id"), "id", "left_anti").select(*notes.columns).unionByName(done)
 
 
 def search_rows(notes: DataFrame) -> DataFrame:
@@ -76,13 +93,18 @@ def collection_revisions(repositories: DataFrame, runs: DataFrame) -> DataFrame:
     return met.select("repository_id", F.coalesce("revision", "head", F.lit("")).alias("revision"))
 
 
-def create_collections(collections: DataFrame, repositories: DataFrame, runs: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
-    """collections with a new one for each request (repository_id, title, overview_markdown, tags) of a known repository."""
+def new_collections(collections: DataFrame, repositories: DataFrame, runs: DataFrame, asked: DataFrame, now: Column | None = None, top: int | None = None) -> DataFrame:
+    """The new collection of each request (repository_id, title, overview_markdown, tags) of a known repository."""
     at = _NOW() if now is None else now
     new = require_repositories(asked, repositories).join(collection_revisions(repositories, runs), "repository_id")
     new = new.select("repository_id", clean_title(F.col("title"), UNTITLED).alias("title"), "overview_markdown", clean_tags(F.col("tags")).alias("tags"), F.col("revision").alias("created_revision"), at.alias("created_at"), at.alias("updated_at"))
-    new = _placed(new, collections, ["repository_id", "title", "overview_markdown"])
-    return collections.unionByName(new.select(*[c for c in new.columns if c in collections.columns]), allowMissingColumns=True)
+    new = _placed(new, _top(collections, top), ["repository_id", "title", "overview_markdown"])
+    return new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in collections.schema.fields])
+
+
+def create_collections(collections: DataFrame, repositories: DataFrame, runs: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
+    """collections with the new ones."""
+    return collections.unionByName(new_collections(collections, repositories, runs, asked, now))
 
 
 #: Title of a collection that is given none (fixed value).
@@ -196,7 +218,7 @@ def web_add_items(items: DataFrame, symbols: DataFrame, asked: DataFrame, now: C
     place = F.row_number().over(Window.partitionBy("collection_id").orderBy("symbol_id")) - 1 + F.coalesce("next_order", F.lit(0))
     at = _NOW() if now is None else now
     new = fresh.select(*key, F.col("now.fqn").alias("symbol_fqn"), F.col("now.signature").alias("symbol_signature"), "now.relative_path", "now.start_line", "now.end_line", "now.ast_fingerprint", "role", "memo", F.lit("linked").alias("status"), place.cast("bigint").alias("sort_order"), at.alias("created_at"), at.alias("updated_at"))
-    new = _placed(new, items, ["collection_id", "symbol_id"])
+    new = _placed(new, _top(items, None), ["collection_id", "symbol_id"])
     return items.unionByName(new.select(*[c for c in new.columns if c in items.columns]), allowMissingColumns=True)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staged import staged
+
 #: Candidates shown for a new link of an item (fixed value).
 CANDIDATES = 8
 
@@ -37,7 +39,7 @@ def placed(order, rows: DataFrame) -> DataFrame:
     """rows with their place (from 1) in one of the orders.
 
     Places come from the sorted ranges: rows are numbered within a range, and ranges are offset by the rows before."""
-    ranged = ordered(order, rows).withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = staged(ordered(order, rows).withColumn("_at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_at", 33)
     many = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
     before = many.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")

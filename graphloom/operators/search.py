@@ -79,9 +79,16 @@ def search(symbols: DataFrame, query: str, limit: int = PREFIX_LIMIT) -> DataFra
         return browse(symbols).select("symbol_id", "fqn", F.lit(0.0).alias("score")) if not query.strip() else symbols.select("symbol_id", "fqn", F.lit(0.0).alias("score")).limit(0)
     indexed = index_tokens(symbols).select("symbol_id", "fqn", F.size("tokens").alias("len"), *[term_count(F.col("tokens"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = indexed.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    met = indexed.where(" and ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # stats is one row
+    return ranked(indexed, stats, len(terms), limit)
+
+
+def ranked(counted: DataFrame, stats: DataFrame, terms: int, limit: int) -> DataFrame:
+    """(symbol_id, fqn, score) of rows (symbol_id, fqn, len, tf0 ..) that hold every term, best first.
+
+    stats: one row of n, avg_len and df0 .."""
+    met = counted.where(" and ".join(f"tf{i} > 0" for i in range(terms))).join(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -1,6 +1,6 @@
 """Registered queries by name, and their SQL."""
 
-from . import changes  # noqa: F401  registers its queries
+from . import changes, kept  # noqa: F401  register their queries
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -47,15 +47,18 @@ def _(spark, d):
     return m.symbols(spark, d).join(m.call_edges(spark, d).select(F.col("callee_symbol_id").alias("symbol_id")), "symbol_id", "left_semi").select("symbol_id", "fqn")
 
 
-_BM25 = """t AS (SELECT symbol_id, fqn, list_filter(regexp_split_to_array(lower(fqn || ' ' || signature || ' ' || relative_path), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM p WHERE repository_id = 'repo_main'),
+BM25 = """t AS (SELECT symbol_id, fqn, list_filter(regexp_split_to_array(lower(fqn || ' ' || signature || ' ' || relative_path), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM p WHERE repository_id = 'repo_main'),
 f AS (SELECT symbol_id, fqn, len(ts) AS n, len(list_filter(ts, lambda x: starts_with(x, 'brand1'))) AS t0,
   len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'red' AND starts_with(ts[i + 1], 'w'))) AS t1 FROM t),
 s AS (SELECT count(*) AS n, avg(n) AS a, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM f)"""
 
 
-@query("symbols_search_prefix", """SELECT symbol_id, fqn, round(ln(1 + (s.n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * f.n / a))
+SCORES = """SELECT symbol_id, fqn, round(ln(1 + (s.n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * f.n / a))
   + ln(1 + (s.n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * f.n / a)), 6) AS score
-FROM f, s WHERE t0 > 0 AND t1 > 0 ORDER BY score DESC, fqn, symbol_id LIMIT 80""", P, _BM25)
+FROM f, s WHERE t0 > 0 AND t1 > 0 ORDER BY score DESC, fqn, symbol_id LIMIT 80"""
+
+
+@query("symbols_search_prefix", SCORES, P, BM25)
 def _(spark, d):
     return search.search(_main(m.symbols(spark, d)), "Brand1 red_w")
 
