@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -24,8 +25,18 @@ BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 HOT_ROWS = 100_000
 
 _own_dir: list[str] = []
-#: Paths staged in each open scratch(), the innermost last.
-_open: list[dict[str, str | None]] = []
+
+
+class _Open(threading.local):
+    """Paths staged in each open scratch() of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.stack: list[dict[str, str | None]] = []
+
+
+_open = _Open()
+#: Tables that outlive every scratch(): (session, path, table's name), until release() or the end of the process.
+_left: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,11 +62,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     What leaves the block must be staged itself, and kept: by then it is committed, so that a lost executor rereads it
     and never asks for a table that is gone."""
-    _open.append({})
+    _open.stack.append({})
     try:
         yield
     finally:
-        for path, table in _open.pop().items():
+        for path, table in _open.stack.pop().items():
             _delete(spark, path, table)
 
 
@@ -70,26 +81,39 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and lost executors cost a reread."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    if _open:
-        _open[-1][path] = None
+    if _open.stack:
+        _open.stack[-1][path] = None
     got = spark.read.schema(df.schema).parquet(path)
     got._staged_at = path
     return got
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """This staged table outlives the innermost scratch(); it belongs to the one around it, if any."""
-    table = _open[-1].pop(df._staged_at)
-    if len(_open) > 1:
-        _open[-2][df._staged_at] = table
+    """This staged table outlives the innermost scratch(); it belongs to the one around it, if any, else to the process:
+    release() deletes it, or the end of the process."""
+    table = _open.stack[-1].pop(df._staged_at)
+    if len(_open.stack) > 1:
+        _open.stack[-2][df._staged_at] = table
+    else:
+        if not _left:
+            atexit.register(release)
+        _left.append((df.sparkSession, df._staged_at, table))
     return df
 
 
+def release() -> None:
+    """Delete what operators returned so far: none of their results can be read again."""
+    while _left:
+        with suppress(Exception):  # a session that has ended leaves its tables
+            _delete(*_left.pop())
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables before their scratch() ends; nothing that is still to be computed may read them."""
     for df in tables:
         path = df._staged_at
-        name = next((opened.pop(path) for opened in reversed(_open) if path in opened), None)
+        name = next((opened.pop(path) for opened in reversed(_open.stack) if path in opened), None)
+        _left[:] = [kept for kept in _left if kept[1] != path]
         _delete(df.sparkSession, path, name)
 
 
@@ -98,8 +122,8 @@ def stage_by(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     name = f"graphloom_{label}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
-    if _open:
-        _open[-1][path] = name
+    if _open.stack:
+        _open.stack[-1][path] = name
     got = spark.table(name)
     got._staged_at = path
     return got

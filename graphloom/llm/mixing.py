@@ -3,12 +3,13 @@
 Size of a document: its words. The sources share the words of the whole corpus by weight, each up to a multiple of its
 own size (water filling: the sources that stop at their limit are a prefix in order of limit per weight, so running
 sums find the level in one pass). Within a source, whole epochs come first: a document is taken floor(target / size of
-source) times. The remainder is a weighted sample without replacement: a document's key is u ** (1 / w) with u from a
-hash of its id and w its quality weight; keys are taken from the largest until the words left are used up, and the
-document at the border is taken if that comes nearer to the target.
+source) times. The remainder is a weighted sample without replacement: a document's key is -ln(u) / w with u from a hash
+of its id and w its quality weight, so that the keys fall as u ** (1 / w) rises, without underflow where w is small;
+keys are taken from the least until the words left are used up, and the document at the border is taken if that comes
+nearer to the target.
 
-No source is sorted in one task: the budget's border is found as radix digits of the key (two levels of 256 bins whose
-word totals are pre-aggregated), and only documents of the border bin are sorted. What comes out is one row a source, its
+No source is sorted in one task: the budget's border is found as radix digits of the key's logarithm (two levels of 256
+bins whose word totals are pre-aggregated, 512 bins to a doubling), and only documents of the border bin are sorted. What comes out is one row a source, its
 cut: the last document that is taken once more. Every document is held against its source's cut where it stands, so no
 document is shuffled.
 
@@ -60,10 +61,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 
 
 def sampling_key(seed: str, name: Column, quality: Column) -> Column:
-    """u ** (1 / w), in (0, 1): the larger, the earlier a document is taken. name: what tells documents apart."""
+    """-ln(u) / w, above 0: the smaller, the earlier a document is taken. name: what tells documents apart."""
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name)), 1, 12), 16, 10).cast("double")
     u = (bits + 0.5) / float(1 << 48)
-    return F.pow(u, 1.0 / F.when(quality > 0, quality).otherwise(1e-3))
+    return -F.log(u) / F.when(quality > 0, quality).otherwise(1e-3)
+
+
+def _bin(key: Column) -> Column:
+    """0 to 65535, rising with the key: 512 bins to a doubling, from 2**-64 to 2**64."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor((F.log2(key) + 64) * 512))).cast("int")
 
 
 def _at_source(rows: DataFrame, source: Column, part: Column, side: DataFrame, how: str = "left") -> DataFrame:
@@ -87,8 +93,7 @@ def _cuts(slim: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
     """(src, source_size, target, times, cut) by source, from (doc_id, k, source, size, key) of all documents.
 
     cut: (key, doc_id, size, k) of the last document taken once more than `times`, null if there is none."""
-    at = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor((1 - F.col("key")) * 65536))).cast("int")
-    rows = slim.withColumn("bin", at)
+    rows = slim.withColumn("bin", _bin(F.col("key")))
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = targets.withColumn("times", whole).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
@@ -112,19 +117,19 @@ def _cuts(slim: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
 
     last = _at_source(rows, F.col("source"), part, edge, "inner").where("bin = edge")
     last = last.groupBy("src", "rest", "spent", "key", "doc_id", "size", "k").agg(F.sum("size").alias("all"))
-    run = Window.partitionBy("src").orderBy(F.desc("key"), "doc_id", "size", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("src").orderBy("key", "doc_id", "size", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("end", F.sum("all").over(run) + F.col("spent"))
     last = last.where(F.col("end") - F.col("rest") <= F.col("rest") - (F.col("end") - F.col("all")))
     # the border bin may give none: then all bins before it are taken, and the cut stands at its upper end
-    taken = last.groupBy("src").agg(F.max(F.struct((-F.col("key")).alias("minus"), "doc_id", "size", "k")).alias("cut"))
+    taken = last.groupBy("src").agg(F.max(F.struct("key", "doc_id", "size", "k")).alias("cut"))
     cut = edge.select("src", "edge").join(taken.withColumnRenamed("src", "src2"), F.col("src").eqNullSafe(F.col("src2")), "left").drop("src2").withColumnRenamed("src", "src2")
     return budgets.join(cut, F.col("src").eqNullSafe(F.col("src2")), "left").select("src", "source_size", "target", "times", "edge", "cut")
 
 
 def _taken(size: Column, key: Column, doc_id: Column, k: Column) -> Column:
     """How often the cut's source takes a document."""
-    at = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor((1 - key) * 65536))).cast("int")
-    own = F.struct((-key).alias("minus"), doc_id.alias("doc_id"), size.alias("size"), k.alias("k"))
+    at = _bin(key)
+    own = F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size"), k.alias("k"))
     more = F.when(F.col("edge").isNull(), False).when(at != F.col("edge"), at < F.col("edge")).otherwise(F.coalesce(own <= F.col("cut"), F.lit(False)))
     return F.col("times") + more.cast("long")
 

@@ -62,7 +62,7 @@ def _per_text(values: np.ndarray, offsets: np.ndarray, how: np.ufunc) -> np.ndar
 
 
 def signatures(size: int, digest_bytes: int):
-    """mapInArrow function: (doc_id, k, text) to (doc_id, k, n, f, s0 ..); f: digest of the sorted set."""
+    """mapInArrow function: (doc_id, k, text, t) to (doc_id, k, t, n, f, s0 ..); f: digest of the sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -79,7 +79,7 @@ def signatures(size: int, digest_bytes: int):
                     least = _per_text((values ^ _SEEDS[k]) * _FACTORS[k], ends, np.minimum)
                     packed |= (tokens.mix(least) >> np.uint64(48)) << np.uint64(16 * s)
                 cols.append(pa.array(_signed(packed)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "k", "n", "f", *SIG])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *cols], names=["doc_id", "k", "t", "n", "f", *SIG])
 
     return run
 
@@ -198,27 +198,30 @@ def _texts_sets(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def _classes(base: DataFrame, size: int, digest_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows without words; rows (doc_id, k, n, node); classes (node, k, n, s0 ..), whose rows have equal sets."""
-    kinds = ", ".join(["doc_id bigint", "k binary", "n bigint", "f binary", *(f"{s} bigint" for s in SIG)])
+    kinds = ", ".join(["doc_id bigint", "k binary", "t binary", "n bigint", "f binary", *(f"{s} bigint" for s in SIG)])
     rows = stage(base.mapInArrow(trimmed(signatures(size, digest_bytes)), kinds), "signatures")
-    one = F.min(F.struct("k", *SIG)).alias("one")
+    one = F.min(F.struct("k", "t", *SIG)).alias("one")
     classes = rows.where("n > 0").groupBy("f", "n").agg(one, F.count("*").alias("c"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "f", "n", "c", "one.*"), "classes")
-    named = rows.where("n > 0").select("doc_id", "k", "n", "f").join(classes.select("f", "n", "node", "c", F.col("k").alias("head")), ["f", "n"])
-    placed = stage(named.select("doc_id", "k", "n", "node", "c", "head"), "placed")
+    named = rows.where("n > 0").select("doc_id", "k", "t", "n", "f").join(classes.select("f", "n", "node", "c", F.col("t").alias("head")), ["f", "n"])
+    placed = stage(named.select("doc_id", "k", "t", "n", "node", "c", "head"), "placed")
     empty = stage(rows.where("n = 0").select("doc_id", "k", "n"), "empty")
 
-    others = stage(placed.where("c > 1 and k != head").select("k", "node").distinct(), "others")
+    # copies of one text share its set: a class's other texts are held against its first, each once
+    others = stage(placed.where("c > 1 and t != head").groupBy("t", "node").agg(F.min("k").alias("k")), "others")
     if others.take(1):
-        heads = _texts_sets(base, stage(classes.where("c > 1").select("k", "node"), "heads"), size).dropDuplicates(["node"])
-        differ = _texts_sets(base, others, size).join(heads.select("node", F.col("items").alias("ours")), "node").where("items != ours")
-        differ = stage(differ.select("k", "node", "items").dropDuplicates(["k"]), "differ")
+        several = classes.join(bounded_broadcast(stage(others.select("node").distinct(), "several")), "node", "left_semi")
+        heads = _texts_sets(base, stage(several.select("k", "node"), "heads"), size).dropDuplicates(["node"])
+        heads = stage(heads.select("node", F.col("items").alias("ours")), "sets")
+        differ = _texts_sets(base, others.select("k", "node"), size).join(bounded_broadcast(heads), "node").where("items != ours")
+        differ = stage(differ.select("k", "node", "items").dropDuplicates(["k"]).join(others.select("k", "t"), "k"), "differ")
         if differ.take(1):  # two sets of one digest: classes of their own, by the sets themselves
             apart = differ.groupBy("node", "items").agg(F.min("k").alias("head"))
             apart = stage(apart.select((-1 - F.monotonically_increasing_id()).alias("own"), "node", "items", "head"), "apart")
-            moved = stage(differ.join(apart, ["node", "items"]).select("k", "own"), "moved")
-            more = apart.join(rows.dropDuplicates(["k"]), F.col("head") == F.col("k")).select(F.col("own").alias("node"), "f", "n", F.lit(1).cast("long").alias("c"), "k", *SIG)
+            moved = stage(differ.join(apart, ["node", "items"]).select("t", "own"), "moved")
+            more = apart.join(rows.dropDuplicates(["k"]), F.col("head") == F.col("k")).select(F.col("own").alias("node"), "f", "n", F.lit(1).cast("long").alias("c"), "k", "t", *SIG)
             classes = stage(classes.union(more), "classes")
-            placed = placed.join(moved, "k", "left").withColumn("node", F.coalesce("own", "node"))
+            placed = placed.join(moved, "t", "left").withColumn("node", F.coalesce("own", "node"))
     placed = stage(placed.select("doc_id", "k", "n", "node"), "placed")
     unstage(rows)
     return empty, placed, classes
@@ -226,7 +229,7 @@ def _classes(base: DataFrame, size: int, digest_bytes: int) -> tuple[DataFrame,
 
 def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, digest_bytes: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(empty, rows, labels): rows without words, a row (doc_id, k, n, node) for each other, (node, component) of links."""
-    base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"), row_key(text_col).alias("t"))
     empty, rows, classes = _classes(base, size, digest_bytes)
 
     masks = [~0xFFFF, ~(0xFFFF << 16), ~(0xFFFF << 32), (1 << 48) - 1]

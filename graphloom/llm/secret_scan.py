@@ -118,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     unsure. base has the base kinds alone, without counts."""
     with scratch(docs.sparkSession):
         repo = F.to_json(F.array(*[F.col(c).cast("string") for c in repo_cols]))
-        base = docs.select(F.col(id_col).alias("doc_id"), repo.alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), repo.alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
         span = "array<struct<kind:string,start:bigint,end:bigint,hash:bigint,random:boolean>>"
         found = base.mapInArrow(scanner, f"doc_id bigint, repo string, owner string, base {span}, added {span}")
         found = stage(found.withColumn("row", F.monotonically_increasing_id()), "spans")

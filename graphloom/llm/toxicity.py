@@ -13,8 +13,9 @@ in 3 toxic rows of the sample, in 2 where fewer than 200 are toxic.
 
 Defined results: null and empty texts get the score of their features (all zero); labels that are null aren't learned
 from; rows of equal id, text and label count once in the sample; with fewer than 10 labelled rows, or without labels of
-both kinds, every score is the share of label 1 (0 without labels); equal texts get equal scores; an empty table gives
-an empty one. Other columns are carried or ignored, whatever their names.
+both kinds, nothing can be learned: every score is the share of label 1 (0 without labels), and drop_toxic keeps every
+document rather than judge by it; drop_toxic keeps null and empty texts; equal texts get equal scores; an empty table
+gives an empty one. Other columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -327,12 +328,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The documents whose score is under the threshold, with all their columns."""
+    """The documents whose score is under the threshold, and those without text, with all their columns; all documents
+    if the labels don't allow a model."""
     model = train(docs, labels, id_col, text_col, **options)
+    if model.knots is None:
+        return docs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             column = batch.column(batch.schema.get_field_index(text_col))
-            yield batch.filter(pa.array(model.score(*text_bytes(column)) < threshold))
+            raw, offsets = text_bytes(column)
+            yield batch.filter(pa.array((model.score(raw, offsets) < threshold) | (np.diff(offsets) == 0)))
 
     return docs.mapInArrow(trimmed(keep), docs.schema)
