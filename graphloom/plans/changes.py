@@ -256,15 +256,15 @@ def _(spark, d):
 
 @query("collection_exports", """SELECT k.id, '<h1>' || replace(replace(replace(replace(replace(k.title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') || '</h1><p><strong>태그:</strong> ' || k.tags[1] || '</p><p>' || k.overview_markdown || '</p>'
   || coalesce(string_agg('<section><h2>' || rn || '. ' || fqn || sig || '</h2><p><strong>역할:</strong> 기타<br><strong>위치:</strong> ' || path || ':' || line || CASE WHEN changed THEN '<br><strong>상태:</strong> 분석 이후 코드 변경 확인 필요' ELSE '' END || CASE WHEN lost THEN '<br><strong>상태:</strong> 연결 필요' ELSE '' END || '</p>'
-  || coalesce(articles, '') || '</section>', '' ORDER BY rn), '') AS html, CAST(coalesce(sum(n), 0) AS BIGINT) AS included_notes, CAST(coalesce(sum(res), 0) AS BIGINT) AS resolved, CAST(coalesce(sum(unres), 0) AS BIGINT) AS unresolved
+  || CASE WHEN trim(coalesce(memo, '')) <> '' THEN '<p>' || replace(replace(replace(replace(replace(replace(coalesce(memo, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), chr(10), '<br>') || '</p>' ELSE '' END || coalesce(articles, '') || '</section>', '' ORDER BY rn), '') AS html, CAST(coalesce(sum(n), 0) AS BIGINT) AS included_notes, CAST(coalesce(sum(res), 0) AS BIGINT) AS resolved, CAST(coalesce(sum(unres), 0) AS BIGINT) AS unresolved
 FROM k LEFT JOIN (
-  SELECT i.collection_id, row_number() OVER (PARTITION BY i.collection_id ORDER BY i.sort_order, i.id) AS rn, i.symbol_fqn AS fqn, i.symbol_signature AS sig, i.relative_path AS path, i.start_line AS line, i.status = 'orphan' AS lost,
+  SELECT i.collection_id, row_number() OVER (PARTITION BY i.collection_id ORDER BY i.sort_order, i.id) AS rn, i.symbol_fqn AS fqn, i.symbol_signature AS sig, i.relative_path AS path, i.start_line AS line, i.memo, i.status = 'orphan' AS lost,
     coalesce(i.status = 'linked' AND p.ast_fingerprint <> i.ast_fingerprint, false) AS changed, b.articles, b.n, b.res, b.unres
   FROM i LEFT JOIN p ON p.repository_id = i.repository_id AND p.symbol_id = i.symbol_id
   LEFT JOIN (SELECT symbol_id, string_agg('<article><h3>' || title || '</h3>' || html || '<p><strong>태그:</strong> ' || array_to_string(tags, ', ') || '</p></article>', '' ORDER BY id) AS articles, count(*) AS n, sum(resolved) AS res, sum(unresolved) AS unres FROM body WHERE status = 'linked' GROUP BY 1) b ON b.symbol_id = i.symbol_id) x ON x.collection_id = k.id
 GROUP BY k.id, k.title, k.tags, k.overview_markdown""", P, I, K, O, _BODY)
 def _(spark, d):
-    items = m.items(spark, d).withColumn("memo", F.lit(" "))
+    items = m.items(spark, d)
     notes = m.notes(spark, d).where("status = 'linked'").select("symbol_id", F.col("id").alias("place"), "title", "body_markdown", "tags")
     selected = items.select(F.col("id").alias("item_id"), "symbol_id").join(notes, "symbol_id").drop("symbol_id")
     return exports.collection_exports(m.collections(spark, d), items, m.symbols(spark, d), selected, _sources(spark, d)).select("id", "html", "included_notes", "resolved", "unresolved")
