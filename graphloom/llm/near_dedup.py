@@ -43,6 +43,8 @@ CHUNKS, SYMBOLS = 12, 4
 RADIUS = 2 * CHUNKS - 1
 #: Classes of a bucket whose pairs are all tried; larger buckets take the stars and the rarest shingles.
 SMALL = 16
+#: Members of a star that an outside class is tried with before all that it may be similar to.
+FIRST = 16
 _SEEDS = tokens.mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _FACTORS = tokens.mix(_SEEDS) | np.uint64(1)
 SIG = [f"s{c}" for c in range(CHUNKS)]
@@ -157,9 +159,11 @@ def _ranked(sets: DataFrame, stars: DataFrame) -> DataFrame:
     return ranked
 
 
-def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int, first: int | None = None) -> DataFrame:
     """(a, b) of different components that may reach the similarity: every pair that does is there.
 
+    first: instead, of what meets a star, the pairs with so many of its members alone, those nearest to its centre.
+
     Two such sets have an intersection of at least percent * (n_a + n_b) / (100 + percent), so their first common
     shingle is among the first n - ceil(n * percent / 100) + 1 of each, and what follows its places bounds the
     intersection. Let a belong to the smaller star. If that shingle isn't in the centre of b's star, the two meet by it.
@@ -185,9 +189,12 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = met.join(own, "xnode").join(centre, "g").select("xnode", "xn", "xcomp", "g", "comp", shared)
     inside = F.when(F.col("g") == F.col("node"), F.col("n")).otherwise(F.count_if("core"))
     members = rows.groupBy("g", "node", "n").agg(inside.cast("int").alias("in"), F.count_if(~F.col("core")).cast("int").alias("out"))
+    if first is not None:
+        nearest = F.row_number().over(Window.partitionBy("g").orderBy(F.col("out"), F.desc("in"), "node"))
+        members = members.withColumn("_at", nearest).where(F.col("_at") <= first).drop("_at")
     most = F.least("xin", "in") + F.least(F.col("out"), F.col("xn") - F.col("xin"))
     through = held.join(members, "g").where(enough(most, F.col("n"))).select(*pair)
-    return beside.union(through).distinct()
+    return through.distinct() if first is not None else beside.union(through).distinct()
 
 
 def _texts_sets(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -289,7 +296,13 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     left = at.join(open_.select("key"), "key").select("node", "comp").distinct()
     stars = stage(_stars(left, links), "stars")
     sets = sets_of(stars.select(F.explode(F.array("node", "g")).alias("node")))
-    found = stage(near(_rare_pairs(_ranked(sets, stars), sets, percent)).select("a", "b"), "cross")
+    ranked = _ranked(sets, stars)
+    # a class that links with one of a star's members is done with it: the nearest members first, then all for the rest
+    found = stage(near(_rare_pairs(ranked, sets, percent, FIRST)).select("a", "b"), "cross")
+    if found.take(1):
+        contract(found, sets)
+        ranked = ranked.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    found = stage(near(_rare_pairs(ranked, sets, percent)).select("a", "b"), "cross")
     if found.take(1):
         contract(found, sets)
     return empty, rows, labels
