@@ -89,6 +89,8 @@ class PieceEncoder:
     def _cut(self, word: str, before: str, own: _Pieces) -> bytes:
         """Ids of `before` and the word. One line feed within is a token; leading letters are one word of the pattern,
         for which the model alone is asked."""
+        if word.isascii() and word.isalpha():  # a word of the pattern, whose bytes stand for themselves
+            return array("I", [t.id for t in self.model.tokenize(_BYTES[32] + word if before else word)]).tobytes()
         head, line, tail = word.partition("\n")
         if line:
             if not head or not tail or head[-1].isspace() or tail[0].isspace():
