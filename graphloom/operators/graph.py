@@ -84,14 +84,48 @@ def induced_subgraph(edges: DataFrame, ids: DataFrame, by: list[str] | None = No
     return inner.join(ids.withColumnRenamed("node", "callee_symbol_id"), [*by, "callee_symbol_id"], "left_semi")
 
 
-def reverse_reach(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(seed, node, distance): callers of each seed, transitively, at their least distance from it."""
-    back = edges.where(F.col("callee_symbol_id").isNotNull()).select(F.col("callee_symbol_id").alias("to"), F.col("caller_symbol_id").alias("by")).distinct().persist()
-    seen = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("distance", F.lit(0))
+def numbered(seeds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(seed, word, bit): a number for each distinct seed, as one bit of one of many 64-bit words.
+
+    by: columns of seeds to number them by, so that seeds that lie together, which mostly share callers, share words."""
+    firsts = [F.min(c).alias(c) for c in by or []]
+    once = seeds.groupBy("seed").agg(*firsts) if firsts else seeds.select("seed").distinct()
+    at = F.col("place") - 1
+    found = placed(lambda: [*map(F.col, by or []), F.col("seed")], once.where("seed is not null"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int"))
+    return staged(found.select("seed", F.shiftright(at, 6).alias("word"), bit.alias("bit")), "seeds")
+
+
+def callers(edges: DataFrame) -> DataFrame:
+    """(to, by): the distinct callers of each symbol, written once for all levels."""
+    return staged(edges.where(F.col("callee_symbol_id").isNotNull()).select(F.col("callee_symbol_id").alias("to"), F.col("caller_symbol_id").alias("by")).distinct(), "callers")
+
+
+def reverse_sets(back: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, word, bits, distance): the seeds (see numbered) that each node first reaches at a distance, as bits of words.
+
+    A node has a row for each word that it reaches, not for each seed, and bits that meet at a node are merged before
+    and after the shuffle; so a hub that reaches all seeds hands on a sixty-fourth of their number."""
+    seen = seeds.select(F.col("seed").alias("node"), "word", F.col("bit").alias("bits"))
     frontier, levels = seen, []
     for d in range(1, clamp_depth(depth) + 1):
-        step = frontier.join(back, frontier["node"] == back["to"]).select("seed", F.col("by").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)).persist()
-        seen = seen.union(frontier)
-        levels.append(frontier)
+        step = frontier.join(back, frontier["node"] == back["to"]).groupBy(F.col("by").alias("node"), "word").agg(F.bit_or("bits").alias("reached"))
+        fresh = F.col("reached").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint"))))
+        met = step.join(seen, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).where("bits <> 0")
+        frontier = staged(met, "frontier")
+        seen = seen.union(frontier).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+        levels.append(frontier.withColumn("distance", F.lit(d)))
     return reduce(DataFrame.union, levels)
+
+
+def seeds_of(sets: DataFrame, seeds: DataFrame) -> DataFrame:
+    """sets with a column of the seeds that its bits stand for: at most 64 a row."""
+    words = seeds.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("seed", "bit"))).alias("_own"))
+    met = sets.join(words, "word")
+    return met.withColumn("seeds", F.transform(F.filter("_own", lambda x: x["bit"].bitwiseAND(F.col("bits")) != 0), lambda x: x["seed"])).drop("_own")
+
+
+def reverse_reach(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(seed, node, distance): callers of each seed, transitively, at their least distance from it."""
+    names = numbered(seeds)
+    return seeds_of(reverse_sets(callers(edges), names, depth), names).select(F.explode("seeds").alias("seed"), "node", "distance")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import reverse_reach
+from ..sources.staged import staged
+from .graph import callers, numbered, reverse_sets, seeds_of
 
 KEY = ["repository_id", "language", "fqn", "signature"]
 #: Kinds of change, in the order of reports (fixed values).
@@ -43,14 +44,21 @@ def affected_callers(changes: DataFrame, base: DataFrame, base_edges: DataFrame,
 
     A deleted symbol's callers are sought in the base graph, others' in the current one; the way may lead through
     changed callers, but only callers that both revisions hold alike are reported."""
-    gone = reverse_reach(base_edges, changes.where("kind = 'deleted'").select(F.col("base_id").alias("seed")), depth)
-    rest = reverse_reach(current_edges, changes.where("kind <> 'deleted'").select(F.col("current_id").alias("seed")), depth)
-    named = lambda reach, symbols: reach.join(symbols.select(F.col("symbol_id").alias("node"), *KEY, "relative_path", "ast_fingerprint"), "node")
-    found = named(gone, base).union(named(rest, current))
+    changes = staged(changes, "changes")
+    gone = changes.where("kind = 'deleted'").select(F.col("base_id").alias("seed"), F.col("base_path").alias("path"))
+    rest = changes.where("kind <> 'deleted'").select(F.col("current_id").alias("seed"), F.col("current_path").alias("path"))
+    names = numbered(gone.union(rest), ["path"])
+    back = callers(base_edges)
+    ahead = back if base_edges.sameSemantics(current_edges) else callers(current_edges)
+    reach = lambda links, ids: reverse_sets(links, names.join(ids, "seed", "left_semi"), depth)
+    named = lambda sets, symbols: sets.join(symbols.select(F.col("symbol_id").alias("node"), *KEY, "relative_path", "ast_fingerprint"), "node")
+    found = named(reach(back, gone), base).union(named(reach(ahead, rest), current))
     found = found.join(changes.select(*KEY).distinct(), KEY, "left_anti")
     now = by_key(current).select(*KEY, "symbol_id", F.col("relative_path").alias("p"), F.col("ast_fingerprint").alias("f"))
     same = found.join(now, KEY).where((F.col("relative_path") == F.col("p")) & (F.col("ast_fingerprint") == F.col("f")))
-    return same.groupBy("repository_id", "symbol_id", "fqn", "relative_path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("seed")).alias("seeds"))
+    who = ["repository_id", "symbol_id", "fqn", "relative_path"]
+    merged = same.groupBy(*who, "word").agg(F.bit_or("bits").alias("bits"), F.min("distance").alias("distance"))
+    return seeds_of(merged, names).groupBy(*who).agg(F.min("distance").alias("distance"), F.array_sort(F.flatten(F.collect_list("seeds"))).alias("seeds"))
 
 
 def impact_status(has_baseline: bool, files: DataFrame, changes: DataFrame) -> DataFrame:

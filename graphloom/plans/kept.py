@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, resolve
 from ..schemas import TABLES
-from ..sources.staged import new_folder
+from ..sources.staged import new_folder, staged
 from ..sources.store import State, Store
 from . import projections as m
 from .catalog import BM25, CALLS_AND_EDGES, ROOT, SCORES, SQL, query
@@ -119,3 +119,17 @@ found AS (SELECT '{ROOT}' AS node, 0 AS distance, 0 AS x, 0 AS y UNION ALL SELEC
 @query("graph_discovery_order", "SELECT node AS symbol_id, distance, row_number() OVER (ORDER BY distance, x, y) AS place FROM found WHERE node IN (SELECT symbol_id FROM p)", *CALLS_AND_EDGES, _FOUND)
 def _(spark, d):
     return graph.discovery_order(m.symbols(spark, d), m.call_edges(spark, d), ROOT, 2)
+
+
+#: The calls and their verdicts as the second revision's symbols have them.
+_LATER = (P, P2, m.NEXT, m.CALLS.replace("JOIN p a ON", "JOIN p2 a ON"), m.RESOLVED.replace("owner FROM p)", "owner FROM p2)"))
+
+
+@query("edges_after_edit", "SELECT l_orderkey, rn, caller_symbol_id, CASE WHEN confidence = 'resolved' THEN id END AS callee_symbol_id, confidence, source_line FROM w", *_LATER)
+def _(spark, d):
+    """The first revision's edges brought up to the second: only calls that an edit can touch are resolved again."""
+    a, b = m.symbols(spark, d), m.second_revision(spark, d)
+    edges = staged(resolve.resolve_calls(a, m.raw_calls(spark, d), traced=True), "edges")
+    gone = a.join(b.select("symbol_id"), "symbol_id", "left_anti").select("repository_id", F.col("symbol_id").alias("caller_symbol_id"))
+    found = resolve.resolve_changes(edges, a, b, replaced=gone)
+    return found.select("l_orderkey", F.col("rn").cast("bigint").alias("rn"), "caller_symbol_id", "callee_symbol_id", "confidence", "source_line")
