@@ -10,7 +10,7 @@ from ..schemas import TABLES
 from ..sources.staged import new_folder, staged
 from ..sources.store import State, Store
 from . import projections as m
-from .catalog import BM25, CALLS_AND_EDGES, ROOT, SCORES, SQL, query
+from .catalog import _REACH, BM25, CALLS_AND_EDGES, ROOT, SCORES, SQL, query
 
 P, P2, I, K, O = m.SYMBOLS, m.SECOND, m.ITEMS, m.COLLECTIONS, m.NOTES
 TERMS = "Brand1 red_w"
@@ -121,6 +121,28 @@ def _(spark, d):
     return graph.discovery_order(m.symbols(spark, d), m.call_edges(spark, d), ROOT, 2)
 
 
+_NEAR = _REACH.format(depth=2).replace(f"symbol_id = '{ROOT}'", f"symbol_id = '{ROOT}' AND repository_id = '{m.REPOSITORY}'")
+
+
+def _graph(spark, d):
+    """Both repositories published with their edges."""
+    store, s, e = _store(spark), m.symbols(spark, d), staged(m.call_edges(spark, d), "edges")
+    for name in (m.REPOSITORY, m.OTHER):
+        own = F.col("repository_id") == name
+        state = store.publish(name, "1", {"symbols": s.where(own), "call_edges": e.where(own)})
+    return state.neighbourhood(m.REPOSITORY, ROOT, 2)
+
+
+@query("kept_graph_nodes", "SELECT p.symbol_id, p.fqn, near.distance FROM near JOIN p ON p.symbol_id = near.node", *CALLS_AND_EDGES, _NEAR)
+def _(spark, d):
+    return _graph(spark, d)[0].select("symbol_id", "fqn", "distance")
+
+
+@query("kept_graph_edges", "SELECT DISTINCT edge_id, a AS caller_symbol_id, b AS callee_symbol_id, unresolved_name FROM e JOIN near ON near.distance < 2 AND (near.node = e.a OR near.node = e.b)", *CALLS_AND_EDGES, _NEAR)
+def _(spark, d):
+    return _graph(spark, d)[1].select("edge_id", "caller_symbol_id", "callee_symbol_id", "unresolved_name")
+
+
 #: The calls and their verdicts as the second revision's symbols have them.
 _LATER = (P, P2, m.NEXT, m.CALLS.replace("JOIN p a ON", "JOIN p2 a ON"), m.RESOLVED.replace("owner FROM p)", "owner FROM p2)"))
 

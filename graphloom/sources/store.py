@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, lifecycle, mutations
+from ..operators import adjacency, index, lifecycle, mutations
 from ..schemas import TABLES
 from .commits import Log, Taken
 from .staged import staged
@@ -65,6 +65,15 @@ class State:
         segments = self.entry["index"].get(repository_id, [])
         return index.search(self.spark, segments, n, length, self.of_repository("symbols", repository_id), query, limit)
 
+    def neighbourhood(self, repository_id: str, root: str, depth: int) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) as operators.graph.neighbourhood, out of the kept adjacency: a hop reads its frontier's buckets."""
+        symbols = self.of_repository("symbols", repository_id)
+        kept = self.entry.get("adjacency", {}).get(repository_id)
+        if kept is None:
+            edges = self.of_repository("call_edges", repository_id)
+            return symbols.where(F.col("symbol_id") == root).withColumn("distance", F.lit(0)), edges.limit(0)
+        return adjacency.neighbourhood(self.spark, kept, symbols, root, depth)
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, width: int = WIDTH) -> None:
@@ -184,7 +193,7 @@ class Store:
     def publish(self, repository_id: str, revision: str, tables: dict[str, DataFrame]) -> State:
         """Replace a repository's analysis: `symbols`, and any of call_edges, source_files and diagnostics.
 
-        One commit enters a running run. Another takes over the tables and the search index, re-links the repository's
+        One commit enters a running run. Another takes over the tables, the search index and the adjacency, re-links the repository's
         notes and items, and completes the run (partial if there are diagnostics). Between them readers see the old
         analysis; a publish that is killed leaves a running run and the old analysis."""
 
@@ -203,6 +212,10 @@ class Store:
         now = self.spark.read.schema(schemas["symbols"]).parquet(folders["symbols"])
         broken = "diagnostics" in tables and bool(self.spark.read.schema(schemas["diagnostics"]).parquet(folders["diagnostics"]).take(1))
 
+        links = None
+        if "call_edges" in tables:
+            links = adjacency.write(self._folder("adjacency"), self.spark.read.schema(schemas["call_edges"]).parquet(folders["call_edges"]))
+
         def complete(before: State, entry: dict) -> None:
             old = before.of_repository("symbols", repository_id)
             for name in ANALYSIS:
@@ -212,6 +225,9 @@ class Store:
                 if name in tables:
                     about["parts"][repository_id] = folders[name]
             self._indexed(entry, repository_id, old, now)
+            entry.setdefault("adjacency", {}).pop(repository_id, None)
+            if links is not None:
+                entry["adjacency"][repository_id] = links
             for name, relink in (("notes", lifecycle.relink_notes), ("collection_items", lifecycle.relink_items)):
                 if name in entry["tables"]:
                     rows = before.table(name).where(F.col("repository_id") == repository_id)

@@ -4,8 +4,11 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import graph, resolve
+from graphloom.operators import adjacency, graph, resolve
+from graphloom.schemas import TABLES
+from graphloom.sources import store
 
 SYMBOL = "repository_id string, symbol_id string, language string, relative_path string, fqn string"
 CALL = "repository_id string, call_seq bigint, caller_symbol_id string, language string, target_name string, display_target string, is_qualified boolean, receiver_type string, receiver_module string, source_line int"
@@ -94,3 +97,41 @@ def test_seed_sets_equal_plain_searches(spark, seed):
     sets = graph.reverse_sets(graph.callers(edges), graph.numbered(asked)).where("node = 'hub'")
     assert sets.count() <= 2 * (len(seeds) // 64 + 1)
     assert graph.reverse_reach(edges, asked.limit(0)).isEmpty() and graph.reverse_reach(edges.limit(0), asked).isEmpty()
+
+
+def test_kept_adjacency(spark, tmp_path):
+    """Equal to the plain neighbourhood with few and many buckets, a hub of more neighbours than are named, loops and open calls;
+    and the hops open no bucket but those of their frontiers."""
+    rng = random.Random(0)
+    pairs = [(str(rng.randrange(200)), str(rng.randrange(200)) if rng.random() < 0.8 else None) for _ in range(220)] + [("hub", str(i)) for i in range(90)] + [("0", "hub"), ("0", "0"), ("lone", None)]
+    edges = spark.createDataFrame([("r", i, a, b, None if b else "x", "resolved" if b else "unresolved", i) for i, (a, b) in enumerate(pairs)], TABLES["call_edges"])
+    symbols = spark.createDataFrame([("r", str(i), "java", "method", f"A.f{i}", "()", "p", 1, 2, "h") for i in [*range(190), "hub", "lone"]], TABLES["symbols"])
+    for rows in (40, 10_000):
+        kept = adjacency.write(f"file://{tmp_path}/a{rows}", edges, rows)
+        assert kept["buckets"] == max(1, -(-2 * len(pairs) // rows))
+        for root, depth, name in (("0", 3, "neighbourhood"), ("hub", 1, "discovered_graph"), ("nobody", 2, "neighbourhood")):
+            got, want = getattr(adjacency, name)(spark, kept, symbols, root, depth), getattr(graph, name)(symbols, edges, root, depth)
+            for g, w in zip(got, want, strict=True):
+                assert sorted(map(repr, g.select(*w.columns).collect())) == sorted(map(repr, w.collect())), (rows, root, depth)
+    kept = adjacency.write(f"file://{tmp_path}/b", edges, 20)
+    mine = spark.createDataFrame([("lone",)], "node string").select(adjacency.bucket(F.col("node"), kept["buckets"])).first()[0]
+    for folder in (tmp_path / "b").glob("bucket=*"):
+        if folder.name != f"bucket={mine}":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not to be read")
+    nodes, found = adjacency.neighbourhood(spark, kept, symbols, "lone", 3)
+    assert [r.symbol_id for r in nodes.collect()] == ["lone"] and found.count() == 1
+    empty = adjacency.write(f"file://{tmp_path}/c", edges.limit(0))
+    assert [n.count() for n in adjacency.neighbourhood(spark, empty, symbols, "0", 2)] == [1, 0]
+
+
+def test_adjacency_is_published(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    symbols = spark.createDataFrame([("r", str(i), "java", "method", f"A.f{i}", "()", "p", 1, 2, "h") for i in range(3)], TABLES["symbols"])
+    edge = lambda *ends: spark.createDataFrame([("r", i, a, b, None, "resolved", 1) for i, (a, b) in enumerate(ends)], TABLES["call_edges"])
+    first = s.publish("r", "1", {"symbols": symbols, "call_edges": edge(("0", "1"))})
+    second = s.publish("r", "2", {"symbols": symbols, "call_edges": edge(("0", "1"), ("1", "2"))})
+    third = s.publish("r", "3", {"symbols": symbols})  # no edges: none of the old analysis either
+    near = lambda state: sorted(r.symbol_id for r in state.neighbourhood("r", "0", 2)[0].collect())
+    assert [near(x) for x in (first, second, third, first)] == [["0", "1"], ["0", "1", "2"], ["0"], ["0", "1"]]
+    assert second.neighbourhood("q", "0", 2)[0].isEmpty()
