@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, resolve
 from ..schemas import TABLES
 from ..sources.staged import new_folder, staged
+from ..sources.state import redacted_states
 from ..sources.store import State, Store
 from . import projections as m
 from .catalog import _REACH, BM25, CALLS_AND_EDGES, ROOT, SCORES, SQL, query
@@ -155,3 +156,15 @@ def _(spark, d):
     gone = a.join(b.select("symbol_id"), "symbol_id", "left_anti").select("repository_id", F.col("symbol_id").alias("caller_symbol_id"))
     found = resolve.resolve_changes(edges, a, b, replaced=gone)
     return found.select("l_orderkey", F.col("rn").cast("bigint").alias("rn"), "caller_symbol_id", "callee_symbol_id", "confidence", "source_line")
+
+
+@query("redacted_states", """SELECT CAST(symbol_id AS BIGINT) AS id, '{"kind":"state","theirs":{"at":[' || symbol_id || ',{"relativePath":"' || relative_path || '"'
+  || CASE WHEN k % 3 = 0 THEN ',"source":"' || fqn || '"' ELSE '' END || ',"fqn":' || CASE WHEN k % 3 = 0 THEN '"' || fqn || '"' ELSE 'null' END || '}]}'
+  || CASE WHEN k % 2 = 0 THEN '' ELSE ',"files":["' || relative_path || '"]' END || '}' AS state FROM (SELECT *, CAST(symbol_id AS BIGINT) AS k FROM p)""", P)
+def _(spark, d):
+    """A state for each symbol, with fields of another program: a file's source and lists of files with sources go, a symbol's source stays."""
+    s = m.symbols(spark, d).withColumn("k", F.col("symbol_id").cast("bigint"))
+    name = F.concat(F.lit('"'), F.col("fqn"), F.lit('"'))
+    files = F.when(F.col("k") % 2 == 0, F.concat(F.lit('[{"source" : '), name, F.lit("}, 1]"))).otherwise(F.concat(F.lit('["'), F.col("relative_path"), F.lit('"]')))
+    text = F.concat(F.lit('{"kind": "state", "theirs": {"at": ['), "symbol_id", F.lit(', {"relativePath": "'), "relative_path", F.lit('", "source": '), name, F.lit(', "fqn": '), F.when(F.col("k") % 3 == 0, name).otherwise("null"), F.lit('}]}, "files": '), files, F.lit("}"))
+    return redacted_states(s.select(F.col("k").alias("id"), text.alias("state")), "state")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.redaction import without_sources
+
 STATE_VERSION = 3
 _SYMBOL = "struct<id:string,language:string,kind:string,fqn:string,signature:string,relativePath:string,startLine:int,endLine:int,astFingerprint:string>"
 _EDGE = "struct<id:bigint,source:string,target:string,unresolvedName:string,confidence:string,sourceLine:int>"
@@ -79,6 +81,13 @@ def write_state(state: DataFrame, path: str) -> None:
     state.select(state_json().alias("value")).write.mode("overwrite").text(path)
 
 
+def redacted_states(texts: DataFrame, text: str = "value") -> DataFrame:
+    """texts with raw sources taken out of the JSON column, at any depth; fields that the model doesn't know stay.
+
+    What isn't JSON becomes null."""
+    return texts.withColumn(text, without_sources(F.col(text)))
+
+
 # workspace states of the desktop variant
 
 #: Names of workspaces, and what older ones are called now (fixed values).

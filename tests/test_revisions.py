@@ -1,5 +1,6 @@
 """Incremental resolving against a full one, seed sets against plain searches, redaction, and the adjacency store."""
 
+import json
 import random
 from collections import defaultdict, deque
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import adjacency, graph, resolve
 from graphloom.schemas import TABLES
-from graphloom.sources import store
+from graphloom.sources import state, store
 
 SYMBOL = "repository_id string, symbol_id string, language string, relative_path string, fqn string"
 CALL = "repository_id string, call_seq bigint, caller_symbol_id string, language string, target_name string, display_target string, is_qualified boolean, receiver_type string, receiver_module string, source_line int"
@@ -135,3 +136,27 @@ def test_adjacency_is_published(spark, tmp_path):
     near = lambda state: sorted(r.symbol_id for r in state.neighbourhood("r", "0", 2)[0].collect())
     assert [near(x) for x in (first, second, third, first)] == [["0", "1"], ["0", "1", "2"], ["0"], ["0", "1"]]
     assert second.neighbourhood("q", "0", 2)[0].isEmpty()
+
+
+def test_redaction(spark):
+    file, symbol = {"relativePath": "a.ts", "source": "x", "n": 1.5}, {"relativePath": "a.ts", "source": "x", "fqn": "A.f"}
+    deep = file
+    for _ in range(60):
+        deep = {"in": [deep]}
+    cases = [
+        (file, {"relativePath": "a.ts", "n": 1.5}),
+        (symbol, symbol),
+        ({"relativePath": "a.ts", "source": 5}, {"relativePath": "a.ts", "source": 5}),
+        ({"source": "an edge's end", "target": "b"}, {"source": "an edge's end", "target": "b"}),
+        ({"files": [symbol, 1], "more": {"files": [file]}, "files2": []}, {"more": {}, "files2": []}),
+        ({"files": ["a", {"path": "b"}], "é": None}, {"files": ["a", {"path": "b"}], "é": None}),
+        ([file, [symbol, "s", None]], [{"relativePath": "a.ts", "n": 1.5}, [symbol, "s", None]]),
+        (deep, json.loads(json.dumps(deep).replace('"source": "x", ', ""))),
+        ("text", "text"),
+    ]
+    texts = [json.dumps(a) for a, _ in cases] + [None, "", "{", "NaN", '{"a":"\\ud800"}', "[" * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, value string")
+    got = [r.value for r in state.redacted_states(rows).orderBy("id").collect()]
+    assert [json.loads(t) for t in got[: len(cases)]] == [b for _, b in cases]
+    assert got[len(cases) :] == [None, None, None, None, '{"a":"\\ud800"}', None]
+    assert state.redacted_states(rows.limit(0)).isEmpty()
