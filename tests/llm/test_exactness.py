@@ -145,6 +145,30 @@ def test_pieces_are_bounded():
     assert all(len(k) <= token_output.KEPT_CHARS for table in (e.whole, e.bare, e.spaced) for k in table)
 
 
+def test_words_are_asked_for_once(monkeypatch):
+    """Of a word in many guises, and of a frequent one between rare ones that fill the table, the library is asked once."""
+    e = token_output.PieceEncoder(queries.tokenizer_path())
+    asked, learn = Counter(), e.spaced.learn
+    monkeypatch.setattr(e.spaced, "learn", lambda got: asked.update([got] if isinstance(got, str) else got) or learn(got))
+    monkeypatch.setattr(token_output, "KEPT_PIECES", 20)
+    texts = [f"a usual, usual. usual;\nusual {'abcdefghijklmnopqrst'[i // 20]}{'abcdefghijklmnopqrst'[i % 20]}q" for i in range(400)]
+    for i in range(0, 400, 8):
+        e.encode(texts[i : i + 8], 2)
+    assert sum(n for p, n in asked.items() if "usual" in p) <= 2
+    assert len(list(e.spaced)) <= 20
+
+
+def test_parts_are_exact_in_any_company():
+    r = random.Random(5)
+    bits = [*"abzQ  \n\t\r\x0b'_-.,19é٣²½Ⅷ一\u0301\u200d\xa0\x85\x1c\u3000\x00\U0001f600ǅªº", "'s", "'re", " it's", "<|endoftext|>", "  ", "\n\n", "word", " foo", "x" * 70]
+    e = token_output.PieceEncoder(queries.tokenizer_path())
+    for _ in range(40):
+        some = r.sample(bits, r.randint(2, len(bits)))
+        texts = ["".join(r.choices(some, k=r.randint(0, 30))) for _ in range(20)]
+        for text, got in zip(texts, e.encode(texts, 2), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
 # 4 top-k
 
 
